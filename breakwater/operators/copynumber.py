@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
+from ..session import cut_lineage
 from .ordered import OrderedRows
 from .ranges import first_overlap
 from .skew import lookup_join
@@ -163,19 +164,9 @@ def match_sv_states(
     return out
 
 
-def match_sv_end(
-    svs: DataFrame,
-    segments: DataFrame,
-    end: int,
-    p: Params = DEFAULTS,
-    **options,
+def _match_end(
+    svs: DataFrame, around: DataFrame, nearest: DataFrame, end: int, p: Params, **options
 ) -> DataFrame:
-    """Add states{end}, adjacent_states{end} and boundary_dist{end}.
-
-    A look-up position inside a segment takes its states, and the neighbour on the side
-    of the nearest boundary as adjacent.  Otherwise the segment with the nearest boundary
-    is adjacent (strict) or taken as the match with its neighbour as adjacent."""
-    around = with_neighbours(segments)
     looked = svs.withColumns({"chr": F.col(f"chr{end}"), "_look": look_up_position(end, p.sv_offset)})
     matched = first_overlap(
         looked,
@@ -189,14 +180,9 @@ def match_sv_end(
         SEGMENT_BIN,
         **options,
     )
-    # One row per place: SVs that share a position share its nearest boundaries.
-    places = (
-        svs.select("sample", F.col(f"chr{end}").alias("chr"), F.col(f"pos{end}").alias("pos"))
-        .distinct()
-        .withColumn("place", F.lit(0))
+    both = lookup_join(
+        matched, nearest.withColumnRenamed("pos", f"pos{end}"), ["sample", "chr", f"pos{end}"]
     )
-    nearest = nearest_boundaries(places, around).drop("place").withColumnRenamed("pos", f"pos{end}")
-    both = lookup_join(matched, nearest, ["sample", "chr", f"pos{end}"])
     start, stop, hit = F.col("nearest_start"), F.col("nearest_end"), F.col("_hit")
     start_nearer = start["distance"] < stop["distance"]
     closest = F.when(start_nearer, start["detail"]).otherwise(stop["detail"])
@@ -216,6 +202,31 @@ def match_sv_end(
     return both.select(*svs.columns, *[c.alias(n) for n, c in added.items()])
 
 
-def match_svs(svs: DataFrame, segments: DataFrame, p: Params = DEFAULTS, **options) -> DataFrame:
-    out = match_sv_end(svs, segments, 1, p, **options)
-    return match_sv_end(out, segments, 2, p, **options)
+def match_svs(
+    svs: DataFrame,
+    segments: DataFrame,
+    p: Params = DEFAULTS,
+    ends: tuple[int, ...] = (1, 2),
+    **options,
+) -> DataFrame:
+    """For each end, add states, adjacent_states and boundary_dist.
+
+    A look-up position inside a segment takes its states, and the neighbour on the side
+    of the nearest boundary as adjacent.  Otherwise the segment with the nearest boundary
+    is adjacent (strict) or taken as the match with its neighbour as adjacent."""
+    around = cut_lineage(with_neighbours(segments))
+    # One row per place: ends that share a position share its nearest boundaries.
+    asked = F.array(
+        *[F.struct(F.col(f"chr{e}").alias("chr"), F.col(f"pos{e}").alias("pos")) for e in ends]
+    )
+    places = (
+        svs.select("sample", F.explode(asked).alias("_a"))
+        .select("sample", "_a.*")
+        .distinct()
+        .withColumn("place", F.lit(0))
+    )
+    nearest = cut_lineage(nearest_boundaries(places, around).drop("place"))
+    out = svs
+    for end in ends:
+        out = _match_end(out, around, nearest, end, p, **options)
+    return out

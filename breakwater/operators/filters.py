@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype
 from ..params import DEFAULTS, SKIP_TAGS, Params
+from ..session import cut_lineage
 from .ordered import exact_quantiles
 from .ranges import overlap_join
 from .skew import lookup_join
@@ -135,17 +136,19 @@ def inside_fences(
 ) -> DataFrame:
     """Rows whose values all lie strictly inside the quartile fences of their sample;
     the quartile distance counts as one at least."""
-    kept = df.withColumns({f"_v_{n}": c.cast("double") for n, c in values.items()})
-    fences = None
-    for name in values:
-        q = exact_quantiles(kept, keys, F.col(f"_v_{name}"), {"_q1": 0.25, "_q3": 0.75})
-        reach = 1.5 * F.greatest(F.col("_q3") - F.col("_q1"), F.lit(1.0))
-        q = q.select(
-            *keys,
-            (F.col("_q1") - reach).alias(f"_lo_{name}"),
-            (F.col("_q3") + reach).alias(f"_hi_{name}"),
-        )
-        fences = q if fences is None else fences.join(q, list(keys))
+    # The rows are needed for the quartiles and again for the filter.
+    kept = cut_lineage(df.withColumns({f"_v_{n}": c.cast("double") for n, c in values.items()}))
+    each = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_v_{n}").alias("v")) for n in values])
+    )
+    long = kept.select(*keys, each.alias("_e")).select(*keys, "_e.name", "_e.v")
+    q = exact_quantiles(long, [*keys, "name"], F.col("v"), {"_q1": 0.25, "_q3": 0.75})
+    reach = 1.5 * F.greatest(F.col("_q3") - F.col("_q1"), F.lit(1.0))
+    low, high = F.col("_q1") - reach, F.col("_q3") + reach
+    fences = q.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("name") == n, low)).alias(f"_lo_{n}") for n in values],
+        *[F.max(F.when(F.col("name") == n, high)).alias(f"_hi_{n}") for n in values],
+    )
     kept = lookup_join(kept, fences, keys)
     for name in values:
         value = F.col(f"_v_{name}")

@@ -136,10 +136,8 @@ def breakend_neighbours(svs: DataFrame, threshold: int = DEFAULTS.threshold) ->
     )
     steps = F.sequence(F.lit(1 - threshold), F.lit(threshold - 1))
     around = (
-        by_place.select(
-            "sample", "chrom", (F.col("pos") + F.explode(steps)).alias("pos"), "ends1", "ends2", "ids"
-        )
-        .groupBy("sample", "chrom", "pos")
+        by_place.withColumn("_step", F.explode(steps))
+        .groupBy("sample", "chrom", (F.col("pos") + F.col("_step")).alias("pos"))
         .agg(F.sum("ends1").alias("ends1"), F.sum("ends2").alias("ends2"), F.sum("ids").alias("ids"))
     )
     # What an SV adds to its own count: the end itself, and its other end if that is near.

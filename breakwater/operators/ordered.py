@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .skew import lookup_join
 
 RANGE = "_range"
 
@@ -138,14 +139,12 @@ def exact_quantiles(
     bucket each wanted rank lies, and only values of those buckets are ranked."""
     keys = list(keys)
     counts = df.groupBy(*keys, value.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    counts = counts.filter(F.col("_v").isNotNull())
+    counts = cut_lineage(counts.filter(F.col("_v").isNotNull()))
     spans = counts.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all")
     )
     step = (F.col("_hi") - F.col("_lo")) / buckets
     bucket = F.when(step > 0, F.floor((F.col("_v") - F.col("_lo")) / step)).otherwise(0)
-    from .skew import lookup_join
-
     placed = lookup_join(counts, spans, keys).withColumn(
         "_bucket", F.least(bucket, F.lit(buckets - 1)).cast("int")
     )
