@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import reads as R
 from ..functions.genome import canonical_breakends, natural_key, sv_class
 from ..params import DEFAULTS, Params
+from ..session import cut_lineage
 from .counting import breakend_windows, reads_in_windows, window_depth
 from .filters import blacklist_hits
 from .matching import breakends
@@ -201,10 +202,9 @@ def interspersed_duplications(svs: DataFrame, p: Params = DEFAULTS) -> OrderedRo
     scan = _intra_rows(svs, p)
     is_open, code = F.col("open"), F.col("code")
     scan = scan.scan(
-        maxima={"_open_here": F.when(is_open, F.struct(*_PLACE, "code"))},
+        maxima_before={"prev": F.when(is_open, F.struct(*_PLACE, "code"))},
         sums={"_nth": F.when(is_open, 1).otherwise(0)},
     )
-    scan = scan.scan(previous={"prev": F.col("_open_here")})
     prev = F.col("prev")
     near = (F.abs(prev["pos1"] - F.col("pos1")) < p.neighbour_distance) | (
         F.abs(prev["pos2"] - F.col("pos2")) < p.neighbour_distance
@@ -212,16 +212,21 @@ def interspersed_duplications(svs: DataFrame, p: Params = DEFAULTS) -> OrderedRo
     near = is_open & F.coalesce(near, F.lit(False))
     pair = ((code == "DUP") & (prev["code"] == "DEL")) | ((code == "DEL") & (prev["code"] == "DUP"))
     scan = scan.add(_link=near & F.coalesce(pair, F.lit(False)), _vague=near & (code == "Unknown"))
-    scan = scan.scan(maxima={"_run_from": F.when(is_open & ~F.col("_link"), F.col("_nth"))})
-    scan = scan.add(
-        _second=F.col("_link") & ((F.col("_nth") - F.col("_run_from")) % 2 == 1)
-    )
+    loose = is_open & ~F.col("_link")
+    firm = is_open & ~F.col("_vague")
     scan = scan.scan(
-        maxima={"_anchor": F.when(is_open & ~F.col("_vague"), F.struct("_nth", "_second"))}
-    )
-    marked = F.col("_second") | (
-        F.col("_vague") & F.coalesce(F.col("_anchor")["_second"], F.lit(False))
+        maxima={
+            # Where the run of a row starts, with and without vague rows as starts.
+            "_run_from": F.when(loose, F.col("_nth")),
+            "_firm_from": F.when(loose & firm, F.col("_nth")),
+            # The row that a run of vague rows follows.
+            "_anchor": F.when(firm, F.struct("_nth", "_link")),
+        }
     )
+    second = F.col("_link") & ((F.col("_nth") - F.col("_run_from")) % 2 == 1)
+    anchor = F.col("_anchor")
+    anchor_second = anchor["_link"] & ((anchor["_nth"] - F.col("_firm_from")) % 2 == 1)
+    marked = second | (F.col("_vague") & anchor_second)
     return scan.add(intdup=is_open & F.coalesce(marked, F.lit(False)))
 
 
@@ -295,16 +300,12 @@ def classify(svs: DataFrame, p: Params = DEFAULTS, **options) -> DataFrame:
     scan = with_event_ids(interspersed_duplications(svs, p))
     is_open = F.col("open")
     scan = scan.scan(
-        maxima={"_index_here": F.when(is_open, F.col("_index"))},
-        minima_ahead={"_marked_ahead": F.when(is_open, F.struct("_index", "intdup"))},
-    )
-    scan = scan.scan(
-        previous={"prev_index": F.col("_index_here")},
-        following={"_next_open": F.col("_marked_ahead")},
+        maxima_before={"prev_index": F.when(is_open, F.col("_index"))},
+        minima_after={"_next_open": F.when(is_open, F.struct("_index", "intdup"))},
     )
     joined_by_next = is_open & F.coalesce(F.col("_next_open")["intdup"], F.lit(False))
     scan = scan.add(_joined=F.col("intdup") | joined_by_next)
-    rows = scan.rows()
+    rows = cut_lineage(scan.rows())
     trx = translocations(rows, p.threshold, **options)
     rows = rows.join(trx, ["sample", "_index"], "left")
     moved = F.col("trx_id").isNotNull()

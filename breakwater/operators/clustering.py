@@ -1,8 +1,8 @@
 """Cancer cell fractions, their clusters, and assignment of variants to clusters.
 
-A variant is in ``loci`` form: (sample, variant_id, loci), where each locus has var,
-total, weight and mult.  SNVs have one locus and SVs two.  The share of variant reads
-expected at cell fraction f is f x weight x mult, with
+A variant is in ``loci`` form: (sample, variant_id, and for each of two loci var, total,
+weight, mult, top and copies).  SNVs have no second locus: no reads there, other columns
+NULL.  The share of variant reads expected at cell fraction f is f x weight x mult, with
 weight = purity / (purity x tumour copies + (1 - purity) x normal copies)."""
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from ..functions.genome import normal_copy_number
 from ..params import DEFAULTS, Params
 from ..session import cut_lineage
 from .ordered import first_rows
-from .skew import lookup_join
+from .skew import BROADCAST_ROWS, lookup_join, salt_both
 
 # Expected shares are kept off 0 and 1 by this much.
 EDGE = 1e-6
 # Clusters of a joint model closer than this are one.
 MERGE_DISTANCE = 0.1
+# Steps of a fit between two writes.
+STEPS_PER_WRITE = 5
 
 
 # ---------------------------------------------------------------- model input
@@ -87,63 +89,78 @@ def tumour_copies(tag: str = "") -> Column:
     ) * F.col(f"frac_cn{tag}_sub2")
 
 
-def _locus(tag: str) -> Column:
+LOCUS = ("var", "total", "weight", "mult", "top", "copies")
+
+
+def _locus(tag: str) -> dict[str, Column]:
     copies = tumour_copies(tag)
     depth_copies = F.col("purity") * copies + (1 - F.col("purity")) * F.col("normal_cn")
     weight = F.try_divide(F.col("purity"), depth_copies)
-    top = F.greatest(
-        F.col(f"major_cn{tag}_sub1"), F.col(f"major_cn{tag}_sub2"), F.lit(1.0)
-    )
+    top = F.greatest(F.col(f"major_cn{tag}_sub1"), F.col(f"major_cn{tag}_sub2"), F.lit(1.0))
     # Copies that would give this share of reads if all cells had the variant.
     implied = F.bround(F.try_divide(F.col(f"vaf{tag}"), weight))
     mult = F.coalesce(F.greatest(F.lit(1.0), F.least(implied, top)), F.lit(1.0))
-    return F.struct(
-        F.col(f"var_counts{tag}").alias("var"),
-        F.col(f"total_counts{tag}").alias("total"),
-        weight.alias("weight"),
-        mult.alias("mult"),
-        top.cast("int").alias("top"),
-        copies.alias("copies"),
+    values = (
+        F.col(f"var_counts{tag}"),
+        F.col(f"total_counts{tag}"),
+        weight,
+        mult,
+        top.cast("int"),
+        copies,
     )
+    return dict(zip(LOCUS, values, strict=True))
 
 
-def snv_loci(model_input: DataFrame) -> DataFrame:
-    return model_input.select(
-        "sample", F.col("mutation_id").alias("variant_id"), F.array(_locus("")).alias("loci")
-    )
+def _no_locus() -> dict[str, Column]:
+    values = [F.lit(0.0), F.lit(0.0)] + [F.lit(None).cast("double")] * 4
+    return dict(zip(LOCUS, values, strict=True))
 
 
-def sv_loci(model_input: DataFrame) -> DataFrame:
+def _loci(model_input: DataFrame, first: dict[str, Column], second: dict[str, Column]) -> DataFrame:
     return model_input.select(
         "sample",
         F.col("mutation_id").alias("variant_id"),
-        F.array(_locus("1"), _locus("2")).alias("loci"),
+        *[c.alias(f"{n}1") for n, c in first.items()],
+        *[c.alias(f"{n}2") for n, c in second.items()],
     )
 
 
+def snv_loci(model_input: DataFrame) -> DataFrame:
+    return _loci(model_input, _locus(""), _no_locus())
+
+
+def sv_loci(model_input: DataFrame) -> DataFrame:
+    return _loci(model_input, _locus("1"), _locus("2"))
+
+
 def usable(loci: DataFrame) -> DataFrame:
     """Variants with reads at every locus and a known weight."""
-    return loci.filter(
-        F.forall("loci", lambda l: (l["total"] > 0) & l["weight"].isNotNull())
-    )
+    first = (F.col("total1") > 0) & F.col("weight1").isNotNull()
+    second = F.col("mult2").isNull() | ((F.col("total2") > 0) & F.col("weight2").isNotNull())
+    return loci.filter(first & second)
 
 
-def _log_likelihood(loci: Column, ccf: Column) -> Column:
-    """Binomial log-likelihood over the loci, without the term free of ``ccf``."""
+def _share_term(var: Column, total: Column, share: Column) -> Column:
+    """Binomial log-likelihood without the term free of ``share``."""
+    kept = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), share))
+    return var * F.log(kept) + (total - var) * F.log(1 - kept)
 
-    def one(acc: Column, l: Column) -> Column:
-        share = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), ccf * l["weight"] * l["mult"]))
-        return acc + l["var"] * F.log(share) + (l["total"] - l["var"]) * F.log(1 - share)
 
-    return F.aggregate(loci, F.lit(0.0), one)
+def _log_likelihood(ccf: Column, reach1: Column, reach2: Column) -> Column:
+    """Over both loci; ``reach`` is weight x mult.  A locus without reads adds nothing."""
+    one = _share_term(F.col("var1"), F.col("total1"), ccf * reach1)
+    two = _share_term(F.col("var2"), F.col("total2"), ccf * reach2)
+    return one + F.when(F.col("total2") > 0, two).otherwise(0.0)
 
 
-def _log_sum(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
+# ---------------------------------------------------------------- assignment
 
 
-# ---------------------------------------------------------------- assignment
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions use as they are.  Merged into those, they would
+    be worked out again for every element of an array."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
 def _model_rows(clusters: DataFrame) -> DataFrame:
@@ -158,28 +175,38 @@ def assign(loci: DataFrame, clusters: DataFrame) -> DataFrame:
 
     ``clusters``: (sample, cluster, ccf, weight).  Adds probs (cluster, ccf, prob in the
     order of cluster), label and label_ccf."""
-    joined = lookup_join(usable(loci), _model_rows(clusters), ["sample"], "inner")
+    ready = usable(loci).withColumns(
+        {
+            "_reach1": F.col("weight1") * F.col("mult1"),
+            "_reach2": F.coalesce(F.col("weight2") * F.col("mult2"), F.lit(0.5)),
+        }
+    )
+    joined = lookup_join(ready, _model_rows(clusters), ["sample"], "inner")
     scores = F.transform(
         "model",
         lambda m: F.log(F.greatest(m["weight"], F.lit(1e-300)))
-        + _log_likelihood(F.col("loci"), m["ccf"]),
+        + _log_likelihood(m["ccf"], F.col("_reach1"), F.col("_reach2")),
+    )
+    scored = once(joined, _scores=scores)
+    scored = once(scored, _top=F.array_max("_scores"))
+    total = F.aggregate("_scores", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("_top")))
+    scored = once(
+        scored,
+        _norm=F.col("_top") + F.log(total),
+        _best=F.get("model", (F.array_position("_scores", F.col("_top")) - 1).cast("int")),
     )
-    scored = joined.withColumn("_scores", scores).withColumn("_norm", _log_sum(F.col("_scores")))
     probs = F.zip_with(
         "model",
         "_scores",
-        lambda m, s: F.struct(
-            m["cluster"].alias("cluster"), m["ccf"].alias("ccf"), F.exp(s - F.col("_norm")).alias("prob")
+        lambda m, v: F.struct(
+            m["cluster"].alias("cluster"), m["ccf"].alias("ccf"), F.exp(v - F.col("_norm")).alias("prob")
         ),
     )
-    best = F.array_position("_scores", F.array_max("_scores"))
-    out = scored.withColumn("probs", probs)
-    chosen = F.get("model", (best - 1).cast("int"))
-    return out.select(
+    return scored.select(
         *loci.columns,
-        "probs",
-        chosen["cluster"].alias("label"),
-        chosen["ccf"].alias("label_ccf"),
+        probs.alias("probs"),
+        F.col("_best.cluster").alias("label"),
+        F.col("_best.ccf").alias("label_ccf"),
     )
 
 
@@ -228,56 +255,50 @@ def subclonal_structure(
 def multiplicity(assigned: DataFrame) -> DataFrame:
     """Copies each variant most likely sits on, given its cluster, and total copies; one
     pair of columns per locus."""
-    ccf = F.col("label_ccf")
-
-    def best(l: Column) -> Column:
-        def score(m: Column) -> Column:
-            share = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), ccf * l["weight"] * m))
-            return l["var"] * F.log(share) + (l["total"] - l["var"]) * F.log(1 - share)
 
+    def best(e: int) -> Column:
+        var, total = F.col(f"var{e}"), F.col(f"total{e}")
+        unit = F.col("label_ccf") * F.col(f"weight{e}")
         tried = F.transform(
-            F.sequence(F.lit(1), l["top"]),
-            lambda m: F.struct(F.round(score(m.cast("double")), 9).alias("score"), (-m).alias("neg")),
+            F.sequence(F.lit(1), F.col(f"top{e}").cast("int")),
+            lambda m: F.struct(
+                F.round(_share_term(var, total, unit * m), 9).alias("score"), (-m).alias("neg")
+            ),
         )
         return -F.array_max(tried)["neg"]
 
-    loci = F.transform(
-        "loci", lambda l: F.struct(l["copies"].alias("copies"), best(l).alias("mult"))
-    )
-    return assigned.select("sample", "variant_id", loci.alias("_l")).select(
+    return assigned.select(
         "sample",
         "variant_id",
-        F.get("_l", 0)["copies"].alias("tumour_copynumber1"),
-        F.get("_l", 1)["copies"].alias("tumour_copynumber2"),
-        F.get("_l", 0)["mult"].alias("multiplicity1"),
-        F.get("_l", 1)["mult"].alias("multiplicity2"),
+        *[F.col(f"copies{e}").alias(f"tumour_copynumber{e}") for e in (1, 2)],
+        *[best(e).alias(f"multiplicity{e}") for e in (1, 2)],
     )
 
 
+def raw_ccf(e: int) -> Column:
+    """Cell fraction that the reads of one locus give by themselves."""
+    share = F.try_divide(F.col(f"var{e}"), F.col(f"total{e}"))
+    return F.try_divide(share, F.col(f"weight{e}") * F.col(f"mult{e}"))
+
+
 def cluster_certainty(assigned: DataFrame, purity: DataFrame) -> DataFrame:
     """Most likely cluster, and the raw cell fraction of each locus as a share of all
     cells."""
-
-    def proportion(i: int) -> Column:
-        l = F.get("loci", i)
-        raw = F.try_divide(l["var"] / l["total"], l["weight"] * l["mult"])
-        return (raw * F.col("purity")).alias(f"average_proportion{i + 1}")
-
     return lookup_join(assigned, purity.select("sample", "purity"), ["sample"]).select(
         "sample",
         "variant_id",
         F.col("label").alias("most_likely_assignment"),
-        proportion(0),
-        proportion(1),
+        *[(raw_ccf(e) * F.col("purity")).alias(f"average_proportion{e}") for e in (1, 2)],
     )
 
 
 def single_variant_model(loci: DataFrame) -> DataFrame:
     """Model of a sample with one variant: one cluster at its mean raw cell fraction."""
-    raw = F.transform(
-        "loci", lambda l: F.try_divide(l["var"] / l["total"], l["weight"])
-    )
-    mean = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v) / F.size(raw)
+    ends = [
+        F.try_divide(F.try_divide(F.col(f"var{e}"), F.col(f"total{e}")), F.col(f"weight{e}"))
+        for e in (1, 2)
+    ]
+    mean = F.coalesce((ends[0] + ends[1]) / 2, ends[0])
     alone = loci.groupBy("sample").agg(F.count("*").alias("_n"), F.first(mean).alias("ccf"))
     return alone.filter(F.col("_n") == 1).select(
         "sample", F.lit(1).alias("cluster"), "ccf", F.lit(1.0).alias("weight")
@@ -333,127 +354,120 @@ def _distinct_loci(loci: DataFrame) -> DataFrame:
     """Variants with equal counts and copies are the same to the model, so each distinct
     one is kept once with its frequency.  This is exact, and for large samples far
     smaller than the variants."""
-    slim = F.transform(
-        "loci",
-        lambda l: F.struct(l["var"].alias("var"), l["total"].alias("total"), l["weight"].alias("weight"), l["mult"].alias("mult")),
-    )
-    return loci.groupBy("sample", slim.alias("loci")).agg(F.count("*").cast("double").alias("freq"))
+    reach2 = F.coalesce(F.col("weight2") * F.col("mult2"), F.lit(0.5))
+    return loci.groupBy(
+        "sample",
+        "var1",
+        "total1",
+        (F.col("weight1") * F.col("mult1")).alias("reach1"),
+        "var2",
+        "total2",
+        reach2.alias("reach2"),
+    ).agg(F.count("*").cast("double").alias("freq"))
+
+
+# Variant reads, and reads at which a cell fraction of one would show, of both loci.
+_TOTALS = ("var1 + var2", "total1 * reach1 + total2 * reach2")
+
 
+def _centre(i: int) -> str:
+    return f"c{i}"
 
-def _raw_ccf() -> Column:
-    var = F.aggregate("loci", F.lit(0.0), lambda a, l: a + l["var"])
-    reach = F.aggregate("loci", F.lit(0.0), lambda a, l: a + l["total"] * l["weight"] * l["mult"])
-    return F.try_divide(var, reach)
+
+def _share(i: int) -> str:
+    return f"w{i}"
 
 
 def _starts(data: DataFrame, p: Params) -> DataFrame:
     """Starting centres for every number of clusters and repeat: quantiles of the raw
-    cell fractions, moved a little more with each repeat."""
+    cell fractions, moved a little more with each repeat.  One row per fit, with the
+    centre c and the weight w of each cluster, NULL beyond its number of clusters."""
     grid = 100
     marks = [i / grid for i in range(grid + 1)]
-    raw = data.select("sample", _raw_ccf().alias("ccf"), F.col("freq").cast("long").alias("freq"))
+    var, reach = (F.expr(t) for t in _TOTALS)
+    raw = data.select("sample", F.try_divide(var, reach).alias("ccf"), "freq")
     spread = raw.groupBy("sample").agg(
         F.percentile_approx("ccf", marks, 10_000).alias("marks"), F.sum("freq").alias("n")
     )
-    fits = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("k"),
-                F.lit(r).alias("repeat"),
-                F.array(
-                    *[
-                        F.lit(int(grid * (((i + 0.5) / k + r / (p.repeat * k)) % 1.0)))
-                        for i in range(k)
-                    ]
-                ).alias("at"),
-            )
-            for k in range(1, p.clus_limit + 1)
-            for r in range(p.repeat)
-        ]
-    )
-    fits = F.filter(fits, lambda f: f["k"] <= F.col("n"))
-    models = F.transform(
-        fits,
-        lambda f: F.struct(
-            f["k"].alias("k"),
-            f["repeat"].alias("repeat"),
-            F.transform(
-                f["at"],
-                lambda m: F.struct(
-                    F.greatest(F.lit(0.01), F.get(F.col("marks"), m)).alias("ccf"),
-                    (F.lit(1.0) / f["k"]).alias("weight"),
-                ),
-            ).alias("centres"),
-        ),
-    )
-    return spread.select("sample", "n", F.explode(models).alias("_f")).select(
-        "sample", "n", "_f.*", F.lit(None).cast("double").alias("loglik"), F.lit(False).alias("done")
-    )
 
+    def start(k: int, r: int) -> Column:
+        cells = []
+        for i in range(p.clus_limit):
+            at = int(grid * (((i + 0.5) / k + r / (p.repeat * k)) % 1.0))
+            centre = F.greatest(F.lit(0.01), F.get("marks", at)) if i < k else F.lit(None)
+            cells.append(centre.cast("double").alias(_centre(i)))
+            cells.append((F.lit(1.0 / k) if i < k else F.lit(None)).cast("double").alias(_share(i)))
+        return F.struct(F.lit(k).alias("k"), F.lit(r).alias("repeat"), *cells)
 
-def _round(data: DataFrame, fits: DataFrame, limit: int, tolerance: float) -> DataFrame:
-    """One expectation and maximisation step of all open fits.  The fits of a sample
-    travel to its variants as one row; sums combine before the shuffle."""
-    open_fits = fits.filter(~F.col("done"))
-    per_sample = open_fits.groupBy("sample").agg(
-        F.collect_list(F.struct("k", "repeat", "centres")).alias("fits")
-    )
-    joined = lookup_join(data, per_sample, ["sample"], "inner")
-    one = joined.select("sample", "loci", "freq", F.explode("fits").alias("f"))
-    scores = F.transform(
-        "f.centres",
-        lambda c: F.log(F.greatest(c["weight"], F.lit(1e-300))) + _log_likelihood(F.col("loci"), c["ccf"]),
-    )
-    scored = one.withColumn("scores", scores).withColumn("norm", _log_sum(F.col("scores")))
-    var = F.aggregate("loci", F.lit(0.0), lambda a, l: a + l["var"])
-    reach = F.aggregate("loci", F.lit(0.0), lambda a, l: a + l["total"] * l["weight"] * l["mult"])
-    scored = scored.select(
-        "sample",
-        F.col("f.k").alias("k"),
-        F.col("f.repeat").alias("repeat"),
-        "freq",
-        "norm",
-        var.alias("var"),
-        reach.alias("reach"),
-        F.transform("scores", lambda s: F.exp(s - F.col("norm"))).alias("r"),
+    # With one cluster all starts end at the same centre.
+    tried = [(k, r) for k in range(1, p.clus_limit + 1) for r in range(p.repeat if k > 1 else 1)]
+    fits = F.inline(F.array(*[start(k, r) for k, r in tried]))
+    return (
+        spread.select("sample", "n", "marks", fits)
+        .drop("marks")
+        .filter(F.col("k") <= F.col("n"))
+        .withColumns({"loglik": F.lit(None).cast("double"), "done": F.lit(False)})
     )
+
+
+def _step(
+    data: DataFrame, fits: DataFrame, limit: int, tolerance: float, few: bool
+) -> DataFrame:
+    """One expectation and maximisation step of the fits.  Each distinct variant meets
+    the few fits of its sample; sums combine before the shuffle."""
+    cells = [f(i) for i in range(limit) for f in (_centre, _share)]
+    slim = fits.select("sample", "n", "k", "repeat", *cells)
+    if few:
+        joined = data.join(F.broadcast(slim), "sample")
+    else:
+        left, right, keys = salt_both(data, slim, ["sample"])
+        joined = left.join(right, keys)
+    absent = F.lit(-1e300)
+    scored = joined.withColumns(
+        {
+            f"s{i}": F.coalesce(
+                F.log(F.greatest(F.col(_share(i)), F.lit(1e-300)))
+                + _log_likelihood(F.col(_centre(i)), F.col("reach1"), F.col("reach2")),
+                absent,
+            )
+            for i in range(limit)
+        }
+    )
+    score = [F.col(f"s{i}") for i in range(limit)]
+    scored = scored.withColumn("top", F.greatest(*score) if limit > 1 else score[0])
+    scored = scored.withColumns({f"e{i}": F.exp(score[i] - F.col("top")) for i in range(limit)})
+    scored = scored.withColumn("z", sum((F.col(f"e{i}") for i in range(limit)), F.lit(0.0)))
+    var, reach = (F.expr(t) for t in _TOTALS)
+    scored = scored.withColumns({"var": var, "reach": reach, "scale": F.col("freq") / F.col("z")})
     key = ["sample", "k", "repeat"]
-    sums = []
-    # Numbers of clusters are few and known, so each cluster's sums are plain columns.
+    sums = [F.first(c).alias(c) for c in ("n", *cells)]
     for i in range(limit):
-        r = F.col("freq") * F.coalesce(F.get("r", i), F.lit(0.0))
+        r = F.col("scale") * F.col(f"e{i}")
         sums += [
             F.sum(r).alias(f"n{i}"),
             F.sum(r * F.col("var")).alias(f"v{i}"),
             F.sum(r * F.col("reach")).alias(f"d{i}"),
         ]
-    totals = scored.groupBy(*key).agg(
-        F.sum(F.col("freq") * F.col("norm")).alias("new_loglik"), *sums
+    stepped = scored.groupBy(*key).agg(
+        F.sum(F.col("freq") * (F.col("top") + F.log("z"))).alias("loglik"), *sums
     )
-    stepped = open_fits.join(totals, key)
-    fresh = F.array(
-        *[
-            F.struct(
-                F.coalesce(
-                    F.try_divide(F.col(f"v{i}"), F.col(f"d{i}")), F.get("centres", i)["ccf"]
-                ).alias("ccf"),
-                (F.col(f"n{i}") / F.col("n")).alias("weight"),
-            )
-            for i in range(limit)
-        ]
-    )
-    stepped = stepped.withColumn("fresh", F.slice(fresh, 1, F.col("k")))
-    move = F.array_max(F.zip_with("centres", "fresh", lambda a, b: F.abs(a["ccf"] - b["ccf"])))
-    stepped = stepped.select(
+    fresh, moves = {}, []
+    for i in range(limit):
+        centre = F.coalesce(F.try_divide(F.col(f"v{i}"), F.col(f"d{i}")), F.col(_centre(i)))
+        inside = F.col(_centre(i)).isNotNull()
+        fresh[_centre(i)] = F.when(inside, centre)
+        fresh[_share(i)] = F.when(inside, F.col(f"n{i}") / F.col("n"))
+        moves.append(F.when(inside, F.abs(centre - F.col(_centre(i)))).otherwise(0.0))
+    move = F.greatest(*moves) if limit > 1 else moves[0]
+    return stepped.select(
         "sample",
         "n",
         "k",
         "repeat",
-        F.col("fresh").alias("centres"),
-        F.col("new_loglik").alias("loglik"),
+        *[c.alias(n) for n, c in fresh.items()],
+        "loglik",
         (move < tolerance).alias("done"),
     )
-    return fits.filter("done").unionByName(stepped)
 
 
 def fit_clusters(
@@ -462,22 +476,34 @@ def fit_clusters(
     """Mixture fit per sample: (sample, k, cluster, ccf, weight), clusters from the
     highest cell fraction down.
 
-    All numbers of clusters and repeats of all samples step together in one job per
-    round.  A fit stops when no centre moves by ``tolerance``; the fit with the lowest
-    information criterion is taken."""
-    data = cut_lineage(_distinct_loci(usable(loci)))
+    All numbers of clusters and repeats of all samples step together, a few steps in one
+    job; then the fits are written, which cuts the lineage.  A fit stops when no centre
+    moves by ``tolerance``; the fit with the lowest information criterion is taken."""
+    spark = loci.sparkSession
+    data = _distinct_loci(usable(loci))
+    data = cut_lineage(data.repartition(spark.sparkContext.defaultParallelism))
     fits = cut_lineage(_starts(data, p))
-    for _ in range(p.n_iter):
-        fits = cut_lineage(_round(data, fits, p.clus_limit, tolerance))
+    few = fits.count() <= BROADCAST_ROWS
+    for first in range(0, p.n_iter, STEPS_PER_WRITE):
+        moving = fits.filter(~F.col("done"))
+        for _ in range(min(STEPS_PER_WRITE, p.n_iter - first)):
+            moving = _step(data, moving, p.clus_limit, tolerance, few)
+        fits = cut_lineage(fits.filter("done").unionByName(moving))
         if fits.filter(~F.col("done")).isEmpty():
             break
     criterion = -2 * F.col("loglik") + (2 * F.col("k") - 1) * F.log(F.col("n"))
+    pairs = F.array(
+        *[
+            F.struct(F.col(_centre(i)).alias("ccf"), F.col(_share(i)).alias("weight"))
+            for i in range(p.clus_limit)
+        ]
+    )
     best = (
-        fits.withColumn("_bic", F.round(criterion, 6))
+        fits.withColumns({"_bic": F.round(criterion, 6), "centres": pairs})
         .groupBy("sample")
         .agg(F.min(F.struct("_bic", "k", "repeat", "centres")).alias("b"))
     )
-    ordered = F.reverse(F.array_sort("b.centres"))
+    ordered = F.reverse(F.array_sort(F.filter("b.centres", lambda c: c["ccf"].isNotNull())))
     return best.select("sample", F.col("b.k").alias("k"), F.posexplode(ordered).alias("i", "c")).select(
         "sample", "k", (F.col("i") + 1).alias("cluster"), F.col("c.ccf").alias("ccf"), F.col("c.weight").alias("weight")
     )

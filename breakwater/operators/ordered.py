@@ -26,10 +26,11 @@ class OrderedRows:
         ranged = df.repartitionByRange(*sorting).withColumn(RANGE, F.spark_partition_id())
         # The range of a row has to stay what it is from here on.
         self.df = cut_lineage(ranged)
+        self.stored = True
 
     def _with(self, df: DataFrame) -> OrderedRows:
         other = object.__new__(OrderedRows)
-        other.keys, other.order, other.df = self.keys, self.order, df
+        other.keys, other.order, other.df, other.stored = self.keys, self.order, df, False
         return other
 
     def add(self, **columns: Column) -> OrderedRows:
@@ -42,11 +43,14 @@ class OrderedRows:
         following: Mapping[str, Column] | None = None,
         sums: Mapping[str, Column] | None = None,
         maxima: Mapping[str, Column] | None = None,
+        maxima_before: Mapping[str, Column] | None = None,
         minima_ahead: Mapping[str, Column] | None = None,
+        minima_after: Mapping[str, Column] | None = None,
     ) -> OrderedRows:
         """Add columns, within groups of ``keys`` (a prefix of the sort keys):
-        the value in the row before / after, the sum and the maximum of all rows up to
-        this one, the minimum of this and all later rows."""
+        the value in the row before / after; the sum and the maximum of all rows up to
+        this one (``maxima_before``: without it); the minimum of this and all later rows
+        (``minima_after``: without it)."""
         keys = self.keys if keys is None else list(keys)
         rest = [c for c in [*self.keys, *self.order] if c not in keys]
         place = F.struct(*[F.col(c) for c in rest])
@@ -78,21 +82,31 @@ class OrderedRows:
             local[name] = F.sum(col).over(so_far)
             zero = F.lit(0)
             final[name] = F.coalesce(F.col(name), zero) + F.coalesce(F.col(f"_c_{name}"), zero)
-        for name, col in (maxima or {}).items():
-            totals.append(F.max(col).alias(f"_t_{name}"))
-            carried.append(F.max(f"_t_{name}").over(before).alias(f"_c_{name}"))
-            local[name] = F.max(col).over(so_far)
-            final[name] = F.greatest(F.col(name), F.col(f"_c_{name}"))
-        for name, col in (minima_ahead or {}).items():
-            totals.append(F.min(col).alias(f"_t_{name}"))
-            carried.append(F.min(f"_t_{name}").over(after).alias(f"_c_{name}"))
-            local[name] = F.min(col).over(ahead)
-            final[name] = F.least(F.col(name), F.col(f"_c_{name}"))
-
+        for columns, frame in (
+            (maxima, so_far),
+            (maxima_before, forward.rowsBetween(Window.unboundedPreceding, -1)),
+        ):
+            for name, col in (columns or {}).items():
+                totals.append(F.max(col).alias(f"_t_{name}"))
+                carried.append(F.max(f"_t_{name}").over(before).alias(f"_c_{name}"))
+                local[name] = F.max(col).over(frame)
+                final[name] = F.greatest(F.col(name), F.col(f"_c_{name}"))
+        for columns, frame in (
+            (minima_ahead, ahead),
+            (minima_after, forward.rowsBetween(1, Window.unboundedFollowing)),
+        ):
+            for name, col in (columns or {}).items():
+                totals.append(F.min(col).alias(f"_t_{name}"))
+                carried.append(F.min(f"_t_{name}").over(after).alias(f"_c_{name}"))
+                local[name] = F.min(col).over(frame)
+                final[name] = F.least(F.col(name), F.col(f"_c_{name}"))
+
+        # Rows and totals both come from the table, so it is computed once before.
+        df = self.df if self.stored else cut_lineage(self.df)
         edges = (
-            self.df.groupBy(*keys, RANGE).agg(*totals).select(*keys, RANGE, *carried)
+            df.groupBy(*keys, RANGE).agg(*totals).select(*keys, RANGE, *carried)
         )
-        inside = self.df.withColumns(local)
+        inside = df.withColumns(local)
         joined = inside.join(edges, [*keys, RANGE], "left").withColumns(final)
         return self._with(joined.drop(*[f"_c_{name}" for name in final]))
 

@@ -31,7 +31,12 @@ def measured(df: DataFrame, limit: int, rows_each: Column | None = None) -> tupl
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    limit: int = BROADCAST_ROWS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Attach the one row per key of ``small`` to ``big``; the keys of ``big`` may be
     very uneven (one sample with a third of all variants)."""
@@ -39,7 +44,7 @@ def lookup_join(
     small, within = measured(small, limit)
     if within:
         return big.join(F.broadcast(small), on, how)
-    left, right, keys = salt_both(big, small, on, split_right=False)
+    left, right, keys = salt_both(big, small, on, task_rows, split_right=False)
     return left.join(right, keys, how).drop(*SALTS)
 
 

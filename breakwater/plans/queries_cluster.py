@@ -413,4 +413,5 @@ def subsample_snvs(spark, sf_dir):
 @register("fit_ccf_clusters")
 def fit_ccf_clusters(spark, sf_dir):
     """Iterative; no SQL twin.  Tests plant clusters and recover them."""
-    return clustering.fit_clusters(_loci(spark, sf_dir, "snv"))
+    short = replace(DEFAULTS, clus_limit=3, repeat=1, n_iter=20)
+    return clustering.fit_clusters(_loci(spark, sf_dir, "snv"), short, tolerance=1e-3)
