@@ -50,6 +50,7 @@ def main() -> None:
         df = catalog.QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     found = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
