@@ -66,78 +66,78 @@ def look_up_position(
 
 
 def nearest_boundaries(places: DataFrame, segments: DataFrame) -> DataFrame:
-    """For each (sample, chr, pos, and an id in ``place``): the nearest segment start and
-    the nearest segment end, either way, as structs (distance, ordinal, states...).
-    Among equally near ones the first in the file."""
-    payload = [c for c in segments.columns if c not in ("sample", "chr", "ordinal", "startpos", "endpos")]
-    detail = F.struct(*payload)
+    """Distinct (sample, chr, pos) with ``start_distance`` and ``end_distance``, to the
+    nearest segment start and end either way, ``from_start``, whether the start is the
+    nearer one (a tie goes to the end), and ``closest``, the columns of that segment.
+    Among equally near segments the first in the file counts.  ``ordinal`` is a whole
+    number here."""
     blank = F.lit(None)
-    edges = []
-    for kind, column in (("start", "startpos"), ("end", "endpos")):
-        edges.append(
-            segments.select(
-                "sample",
-                "chr",
-                F.col(column).cast("long").alias("at"),
-                F.lit(0).alias("is_place"),
-                F.col("ordinal").alias("tie"),
-                F.lit(kind).alias("kind"),
-                F.col("ordinal").alias("ordinal"),
-                detail.alias("detail"),
-            )
+    edges = [
+        segments.select(
+            "sample",
+            "chr",
+            F.col(column).cast("long").alias("at"),
+            F.lit(0).alias("is_place"),
+            F.lit(kind).alias("kind"),
+            F.col("ordinal").cast("long").alias("ordinal"),
         )
+        for kind, column in (("start", "startpos"), ("end", "endpos"))
+    ]
     asked = places.select(
         "sample",
         "chr",
         F.col("pos").cast("long").alias("at"),
         F.lit(1).alias("is_place"),
-        F.col("place").alias("tie"),
         blank.cast("string").alias("kind"),
-        blank.cast(segments.schema["ordinal"].dataType).alias("ordinal"),
-        blank.cast(edges[0].schema["detail"].dataType).alias("detail"),
-    )
-    rows = edges[0].unionByName(edges[1])
-    rows = rows.withColumn("tie", F.col("tie").cast("long")).unionByName(
-        asked.withColumn("tie", F.col("tie").cast("long"))
+        blank.cast("long").alias("ordinal"),
     )
     maxima, minima = {}, {}
     for kind in ("start", "end"):
         own = F.col("kind") == kind
         # Among equal positions behind, the largest negated ordinal is the first row.
-        maxima[f"behind_{kind}"] = F.when(
-            own, F.struct("at", (-F.col("ordinal")).alias("neg"), "detail")
-        )
-        minima[f"ahead_{kind}"] = F.when(own, F.struct("at", "ordinal", "detail"))
+        maxima[f"behind_{kind}"] = F.when(own, F.struct("at", (-F.col("ordinal")).alias("neg")))
+        minima[f"ahead_{kind}"] = F.when(own, F.struct("at", "ordinal"))
     scanned = (
-        OrderedRows(rows, ["sample", "chr"], ["at", "is_place", "kind", "tie"])
+        OrderedRows(
+            edges[0].unionByName(edges[1]).unionByName(asked),
+            ["sample", "chr"],
+            ["at", "is_place", "kind", "ordinal"],
+        )
         .scan(maxima=maxima, minima_ahead=minima)
         .rows()
         .filter(F.col("is_place") == 1)
     )
-    out = {}
+    found = {}
     for kind in ("start", "end"):
         behind, ahead = F.col(f"behind_{kind}"), F.col(f"ahead_{kind}")
         back = F.when(
             behind.isNotNull(),
             F.struct(
-                (F.col("at") - behind["at"]).alias("distance"),
-                (-behind["neg"]).alias("ordinal"),
-                behind["detail"].alias("detail"),
+                (F.col("at") - behind["at"]).alias("distance"), (-behind["neg"]).alias("ordinal")
             ),
         )
         front = F.when(
             ahead.isNotNull(),
-            F.struct(
-                (ahead["at"] - F.col("at")).alias("distance"),
-                ahead["ordinal"].alias("ordinal"),
-                ahead["detail"].alias("detail"),
-            ),
+            F.struct((ahead["at"] - F.col("at")).alias("distance"), ahead["ordinal"].alias("ordinal")),
         )
-        out[f"nearest_{kind}"] = F.least(back, front)
-    return scanned.select(
-        "sample", "chr", F.col("at").alias("pos"), F.col("tie").alias("place"),
-        *[c.alias(n) for n, c in out.items()],
+        found[kind] = F.least(back, front)
+    from_start = F.col("_start.distance") < F.col("_end.distance")
+    nearest = scanned.select(
+        "sample", "chr", F.col("at").alias("pos"), *[c.alias(f"_{k}") for k, c in found.items()]
+    ).select(
+        "sample",
+        "chr",
+        "pos",
+        F.col("_start.distance").alias("start_distance"),
+        F.col("_end.distance").alias("end_distance"),
+        from_start.alias("from_start"),
+        F.when(from_start, F.col("_start.ordinal")).otherwise(F.col("_end.ordinal")).alias("_nth"),
+    )
+    payload = [c for c in segments.columns if c not in ("sample", "chr", "ordinal", "startpos", "endpos")]
+    detail = segments.select(
+        "sample", "chr", F.col("ordinal").cast("long").alias("_nth"), F.struct(*payload).alias("closest")
     )
+    return lookup_join(nearest, detail, ["sample", "chr", "_nth"]).drop("_nth")
 
 
 def match_sv_states(
@@ -183,12 +183,10 @@ def _match_end(
     both = lookup_join(
         matched, nearest.withColumnRenamed("pos", f"pos{end}"), ["sample", "chr", f"pos{end}"]
     )
-    start, stop, hit = F.col("nearest_start"), F.col("nearest_end"), F.col("_hit")
-    start_nearer = start["distance"] < stop["distance"]
-    closest = F.when(start_nearer, start["detail"]).otherwise(stop["detail"])
-    outer = F.when(start_nearer, closest["prev_states"]).otherwise(closest["next_states"])
-    toward_end = start["distance"] > stop["distance"]
-    inner = F.when(toward_end, hit["next_states"]).otherwise(hit["prev_states"])
+    hit, closest = F.col("_hit"), F.col("closest")
+    to_start, to_end = F.col("start_distance"), F.col("end_distance")
+    outer = F.when(F.col("from_start"), closest["prev_states"]).otherwise(closest["next_states"])
+    inner = F.when(to_start > to_end, hit["next_states"]).otherwise(hit["prev_states"])
     inside = hit.isNotNull()
     added = {
         f"states{end}": F.when(inside, hit["states"]).otherwise(
@@ -197,7 +195,7 @@ def _match_end(
         f"adjacent_states{end}": F.when(inside, inner).otherwise(
             closest["states"] if p.strict_cnv else outer
         ),
-        f"boundary_dist{end}": F.least(start["distance"], stop["distance"]),
+        f"boundary_dist{end}": F.least(to_start, to_end),
     }
     return both.select(*svs.columns, *[c.alias(n) for n, c in added.items()])
 
@@ -223,9 +221,8 @@ def match_svs(
         svs.select("sample", F.explode(asked).alias("_a"))
         .select("sample", "_a.*")
         .distinct()
-        .withColumn("place", F.lit(0))
     )
-    nearest = cut_lineage(nearest_boundaries(places, around).drop("place"))
+    nearest = cut_lineage(nearest_boundaries(places, around))
     out = svs
     for end in ends:
         out = _match_end(out, around, nearest, end, p, **options)

@@ -56,10 +56,16 @@ class OrderedRows:
         place = F.struct(*[F.col(c) for c in rest])
         forward = Window.partitionBy(*keys, RANGE).orderBy(*rest)
         so_far = forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ahead = forward.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         across = Window.partitionBy(*keys).orderBy(RANGE)
         before = across.rowsBetween(Window.unboundedPreceding, -1)
-        after = across.rowsBetween(1, Window.unboundedFollowing)
+        # Frames that reach back from a descending order are kept up row by row; frames
+        # that reach ahead would be added up again for every row.
+        backward = Window.partitionBy(*keys, RANGE).orderBy(*[F.desc(c) for c in rest])
+        after = (
+            Window.partitionBy(*keys)
+            .orderBy(F.desc(RANGE))
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
 
         totals, carried, final, local = [], [], {}, {}
         for name, col in (previous or {}).items():
@@ -92,8 +98,8 @@ class OrderedRows:
                 local[name] = F.max(col).over(frame)
                 final[name] = F.greatest(F.col(name), F.col(f"_c_{name}"))
         for columns, frame in (
-            (minima_ahead, ahead),
-            (minima_after, forward.rowsBetween(1, Window.unboundedFollowing)),
+            (minima_ahead, backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            (minima_after, backward.rowsBetween(Window.unboundedPreceding, -1)),
         ):
             for name, col in (columns or {}).items():
                 totals.append(F.min(col).alias(f"_t_{name}"))
