@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype
-from ..functions.genome import sv_class
 from ..operators import annotate, clustering, copynumber, counting, filters, matching, mixed
 from ..operators.skew import lookup_join
 from ..params import DEFAULTS, Params
@@ -118,7 +117,3 @@ def results(
         "subclonal_structure": clustering.subclonal_structure(assigned, model, params),
         "cluster_certainty": clustering.cluster_certainty(assigned, params),
     }
-
-
-def class_column(p: Params = DEFAULTS):
-    return sv_class(p.insertion_distance)
