@@ -39,3 +39,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}-tokens"
     manifest = token_store.write(table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"))
     return token_store.read_back(manifest, folder)
+
+
+@query
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
