@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .common import table
@@ -46,3 +47,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
