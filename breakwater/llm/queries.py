@@ -57,3 +57,10 @@ def op1_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFram
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op5_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import syncmers
+
+    return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
