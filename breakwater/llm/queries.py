@@ -83,3 +83,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_text
 
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language.fit(language.training_rows(docs))
+    found = language.identify(docs.select("doc_id", language.held_out().alias("held_out"), "text"), filters)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "known")
