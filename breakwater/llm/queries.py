@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from . import line_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = language.fit(language.training_rows(docs))
     found = language.identify(docs.select("doc_id", language.held_out().alias("held_out"), "text"), filters)
     return found.select("doc_id", "held_out", "lang_pred", "score", "known")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs).drop("source")
+
+
+ORACLES["op7_line_dedup"] = line_dedup.SQL
