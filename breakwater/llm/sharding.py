@@ -8,9 +8,9 @@ Documents without links have no wish; they fill what room is left, which makes t
 exact.  Rounds work on counts of (group, home shard), never on single documents, and a
 document finds its shard at the end by that pair.
 
-A group beyond a shard's share cannot stay whole: it is cut into parts that fit.  Larger
-groups also carry a salt, so that no join or count meets more than a small, fixed part of
-all documents under one key, even if a third of them are the same text."""
+A group beyond a shard's share cannot stay whole: it is cut into parts that fit.  So a part
+in one home shard has at most 1 / shards ** 2 of all documents, and no join or count meets
+more than that under one key, even if a third of all documents are the same text."""
 
 from __future__ import annotations
 
@@ -23,8 +23,6 @@ from . import common
 
 SHARDS = 40
 ROUNDS = 12
-#: A salt of a group has at most about this part of a shard's documents.
-SALT_PART = 8
 #: Hash buckets of groups within a demand of one size; the quotas take buckets whole.
 BUCKETS = 8
 
@@ -60,7 +58,7 @@ def quotas(
 
 
 def propagate(classes: DataFrame, share: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
-    """``classes`` (grp, salt, home, n): documents of a group that started in shard ``home``.
+    """``classes`` (grp, home, n): documents of a group that started in shard ``home``.
     Returns it with the shard where each class ends."""
     spark = classes.sparkSession
     state = common.stored(classes.withColumn("shard", F.col("home")))
@@ -92,7 +90,7 @@ def propagate(classes: DataFrame, share: dict[int, int], rounds: int = ROUNDS) -
         moves = F.broadcast(spark.createDataFrame(sorted(taken), ", ".join(f"{c} int" for c in DEMAND)).withColumn("moves", F.lit(True)))
         new = common.stored(
             asked.join(moves, list(DEMAND), "left").select(
-                "grp", "salt", "home", "n", F.when(F.col("moves"), F.col("wish")).otherwise(F.col("shard")).alias("shard")
+                "grp", "home", "n", F.when(F.col("moves"), F.col("wish")).otherwise(F.col("shard")).alias("shard")
             )
         )
         common.discard(state)
@@ -122,34 +120,24 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     total = base.count()
     share = {s: total // shards + (s < total % shards) for s in range(shards)}
     quota = max(1, total // shards)
-    # texts repeated more often than a part of a shard: at most shards x SALT_PART of them
     linked = base.groupBy("grp").agg(F.count("*").alias("n")).filter("grp is not null and n > 1")
     linked = common.stored(linked)
-    large = linked.filter(F.col("n") * SALT_PART > quota).select(
-        F.col("grp").alias("_grp"),
-        F.ceil(F.col("n") * 1.1 / quota).cast("long").alias("parts"),
-        F.ceil(F.col("n") * SALT_PART / quota).cast("long").alias("salts"),
+    # groups that fill more than a shard: fewer than there are shards
+    large = linked.filter(F.col("n") > quota).select(
+        F.col("grp").alias("_grp"), F.ceil(F.col("n") * 1.1 / quota).cast("long").alias("parts")
     )
-    draw = F.pmod(F.xxhash64("number"), F.lit(1 << 40))
     parted = base.join(F.broadcast(large), F.col("grp") == F.col("_grp"), "left").select(
-        *base.columns,
-        F.when(F.col("parts") > 1, draw % F.col("parts")).otherwise(0).cast("long").alias("part"),
-        F.coalesce(F.pmod(F.floor(draw / 65536), F.col("salts")), F.lit(0)).cast("long").alias("salt"),
+        *base.columns, F.coalesce(F.pmod(F.xxhash64("number"), F.col("parts")), F.lit(0)).alias("part")
     )
-    keys = ["grp", "part", "salt", "home"]
     classes = (
         parted.filter("grp is not null")
-        .groupBy(*keys)
+        .groupBy("grp", "part", "home")
         .agg(F.count("*").alias("n"))
         .join(linked.select("grp"), "grp", "left_semi")
-        .select(F.concat_ws(":", "grp", "part").alias("grp"), "salt", "home", "n")
-    )
-    ended = propagate(classes, share, rounds).select(F.col("grp").alias("_key"), F.col("salt").alias("_salt"), F.col("home").alias("_home"), "shard")
-    on = (
-        (F.concat_ws(":", "grp", "part") == F.col("_key"))
-        & (F.col("salt") == F.col("_salt"))
-        & (F.col("home") == F.col("_home"))
+        .select(F.concat_ws(":", "grp", "part").alias("grp"), "home", "n")
     )
+    ended = propagate(classes, share, rounds).select(F.col("grp").alias("_key"), F.col("home").alias("_home"), "shard")
+    on = (F.concat_ws(":", "grp", "part") == F.col("_key")) & (F.col("home") == F.col("_home"))
     placed = common.stored(parted.join(ended, on, "left").select("doc_id", "size", "text_crc32", "number", "shard"))
     used = {r["shard"]: r["n"] for r in placed.filter("shard is not null").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     loose = common.numbered(placed.filter("shard is null").drop("shard"), ["number"], name="turn")
