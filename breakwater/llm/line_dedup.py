@@ -59,29 +59,27 @@ def drop_boilerplate(
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
     above = common.stored(counted.join(totals, "host").filter(F.col("n") > F.lit(float(ratio)) * F.col("total")).select("host", "key"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    base = docs.select(*[F.col(f"`{c}`") for c in columns], host.alias("_host"), F.xxhash64(text).alias("_page"))
+    # the row stays packed, so that its columns may have any names
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), text.alias("text"), host.alias("host"), F.xxhash64(text).alias("page"))
     if above.count() <= broadcast_lines:
-        dropped = above.groupBy(F.col("host").alias("_h")).agg(F.collect_list("key").alias("_drop"))
-        joined = base.join(F.broadcast(dropped), F.col("_host") == F.col("_h"), "left")
+        dropped = above.groupBy("host").agg(F.collect_list("key").alias("drop"))
+        joined = base.join(F.broadcast(dropped), "host", "left")
     else:
         hits = pages.select("host", "page", F.explode("keys").alias("key")).join(above, ["host", "key"])
-        dropped = hits.groupBy(F.col("host").alias("_h"), F.col("page").alias("_p")).agg(F.collect_list("key").alias("_drop"))
-        joined = base.join(dropped, (F.col("_host") == F.col("_h")) & (F.col("_page") == F.col("_p")), "left")
-
-    each = F.transform(lines, lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
-    marked = joined.withColumn("_lines", each).withColumn(
-        "_lost",
-        F.filter("_lines", lambda e: e["key"].isNotNull() & F.array_contains(F.coalesce("_drop", F.array().cast("array<bigint>")), e["key"])),
-    )
+        dropped = hits.groupBy("host", "page").agg(F.collect_list("key").alias("drop"))
+        joined = base.join(dropped, ["host", "page"], "left")
+    text = F.col("text")
+    each = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    lost = F.filter("lines", lambda e: e["key"].isNotNull() & F.array_contains(F.coalesce("drop", F.array().cast("array<bigint>")), e["key"]))
+    marked = joined.withColumn("lines", each).withColumn("lost", lost)
     chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, e: acc + F.length(e["line"]))
-    whole = (F.size("_lost") == 0) | (chars("_lost") > F.lit(float(most_lost)) * chars("_lines"))
-    kept = F.filter("_lines", lambda e: e["key"].isNull() | ~F.array_contains("_drop", e["key"]))
+    whole = text.isNull() | (F.size("lost") == 0) | (chars("lost") > F.lit(float(most_lost)) * chars("lines"))
+    kept = F.filter("lines", lambda e: e["key"].isNull() | ~F.array_contains("drop", e["key"]))
     rest = F.array_join(F.transform(kept, lambda e: e["line"]), "\n")
-    new_text = F.when(text.isNull() | whole, text).otherwise(rest)
     return marked.select(
-        *[new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns],
-        F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(text.isNull() | whole, 0).otherwise(F.size("_lost")).cast("long").alias("n_dropped"),
+        *[F.when(whole, text).otherwise(rest).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns],
+        F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(whole, 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"),
     )
 
 

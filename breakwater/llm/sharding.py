@@ -1,10 +1,10 @@
 """Balanced label propagation: documents into shards of equal count, linked ones together.
 
 Documents are linked if they share a group.  They start dealt out evenly; in each round
-every group votes for the shard where most of its documents are, documents elsewhere ask
-to move there, and quotas decide: a move is taken only if no shard ends above its share,
-with what leaves a shard making room for what comes.  Moves of larger groups go first.
-Documents without links have no wish; they fill what room is left, which makes the counts
+every group wishes for the shard where most of its documents are and the others have room,
+documents elsewhere ask to move there, and quotas decide: a move is taken only if no shard
+ends above its share, with what leaves a shard making room for what comes.  Moves of larger
+groups go first.  Documents without links have no wish; they fill what room is left, which makes the counts
 exact.  Rounds work on counts of (group, home shard), never on single documents, and a
 document finds its shard at the end by that pair.
 
@@ -57,6 +57,18 @@ def quotas(
     return set(taken)
 
 
+def _wish(room: dict[int, int], number: int):
+    """The shard a group asks for: of those with room for the rest of it, the one where most
+    of it is; else one that could take it whole; else where most of it is, in the hope that
+    others leave."""
+    rooms = F.array(*[F.lit(room[s]).cast("long") for s in sorted(room)])
+    fitting = F.filter("votes", lambda v: F.get(rooms, v["shard"]) >= F.col("size") - v["votes"])
+    open_shards = F.filter(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.get(rooms, s) >= F.col("size"))
+    turn = F.pmod(F.xxhash64("grp", F.lit(number)), F.greatest(F.size(open_shards), F.lit(1))).cast("int")
+    drawn = F.get(open_shards, turn)
+    return F.coalesce(F.array_max(fitting)["shard"], drawn, F.array_max("votes")["shard"])
+
+
 def propagate(classes: DataFrame, share: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
     """``classes`` (grp, home, n): documents of a group that started in shard ``home``.
     Returns it with the shard where each class ends."""
@@ -64,18 +76,14 @@ def propagate(classes: DataFrame, share: dict[int, int], rounds: int = ROUNDS) -
     state = common.stored(classes.withColumn("shard", F.col("home")))
     have = {s: 0 for s in share} | {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     for number in range(rounds):
+        room = {s: share[s] - have[s] for s in share}
         votes = state.groupBy("grp", "shard").agg(F.sum("n").alias("votes"))
-        # ties by a hash of the group, the same for all its documents
-        wish = votes.groupBy("grp").agg(
-            F.max(F.struct("votes", F.xxhash64("grp", "shard").alias("tie"), "shard")).alias("w")
-        )
-        gain = F.floor(F.log2(F.col("w.votes"))).cast("int")
-        asked = state.join(wish, "grp").select(
-            *state.columns,
-            F.col("w.shard").alias("wish"),
-            gain.alias("gain"),
-            F.pmod(F.xxhash64("grp", F.lit(number)), F.lit(BUCKETS)).cast("int").alias("bucket"),
-        )
+        # at most a vote per shard; ties by a hash of the group, the same for all its documents
+        vote = F.struct("votes", F.xxhash64("grp", "shard", F.lit(number)).alias("tie"), "shard")
+        groups = votes.groupBy("grp").agg(F.collect_list(vote).alias("votes"), F.sum("votes").alias("size"))
+        wish = groups.select("grp", _wish(room, number).alias("wish"), F.floor(F.log2("size")).cast("int").alias("gain"))
+        bucket = F.pmod(F.xxhash64("grp", F.lit(number)), F.lit(BUCKETS)).cast("int").alias("bucket")
+        asked = state.join(wish, "grp").select(*state.columns, "wish", "gain", bucket)
         asked = common.stored(asked)
         # at most shards x shards x 40 x BUCKETS rows, however many documents
         demand = [tuple(r) for r in asked.filter("shard <> wish").groupBy(*DEMAND).agg(F.sum("n")).collect()]
