@@ -55,7 +55,7 @@ class OpenBins:
             free = size + (fitting & -fitting).bit_length() - 1
             at = self._take(free)
         else:
-            if self.open == self.most:  # the fullest closes
+            if self.open == self.most and size < self.capacity:  # the fullest closes
                 closed = self._take((self.free_bits & -self.free_bits).bit_length() - 1)
             free, at = self.capacity, self.bins
             self.bins += 1
@@ -64,7 +64,7 @@ class OpenBins:
             self.free_bits |= 1 << (free - size)
             self.open += 1
         else:
-            closed = at  # it took the tightest bin, so no other one closed
+            closed = at  # full; in this case no other one has closed
         return at, self.capacity - free, closed
 
     def slack(self, least: int) -> set[int]:
