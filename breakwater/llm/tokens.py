@@ -18,7 +18,7 @@ import pyarrow as pa
 from .common import blocks
 
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Different words that go through the library in one call.
 JOINED = 512
 
