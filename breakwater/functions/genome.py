@@ -12,9 +12,14 @@ def natural_key(col: Column | str) -> Column:
     """Sort key under which runs of digits compare as integers."""
     col = F.col(col) if isinstance(col, str) else col
     runs = F.regexp_extract_all(col, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(
-        runs, lambda run: F.when(run.rlike("^[0-9]"), F.lpad(run, 18, "0")).otherwise(run)
-    )
+
+
+    def key(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        # the number of digits first, so that a run of any length stays whole
+        return F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+
+    padded = F.transform(runs, lambda run: F.when(run.rlike("^[0-9]"), key(run)).otherwise(run))
     return F.concat_ws("", padded)
 
 

@@ -9,7 +9,7 @@ from ..functions import reads as R
 from ..functions.genome import canonical_breakends, natural_key, sv_class
 from ..params import DEFAULTS, Params
 from ..session import cut_lineage
-from .counting import breakend_windows, reads_in_windows, window_depth
+from .counting import breakend_windows, reads_in_windows, window_depth, with_limits
 from .filters import blacklist_hits
 from .matching import breakends
 from .ordered import OrderedRows, first_of_each
@@ -28,7 +28,7 @@ def split_reads_at_ends(
 ) -> tuple[DataFrame, DataFrame]:
     """Reads near each end, and the ends themselves with ``depth_tag`` HIDEP where the
     window is above the depth cap (no reads are returned for an SV with such an end)."""
-    ready = lookup_join(svs, limits.select("sample", "max_dp"), ["sample"], "inner")
+    ready = with_limits(svs, limits.select("sample", "max_dp"), p)
     windows = breakend_windows(ready, F.lit(2 * p.threshold))
     depth = window_depth(windows, reads, **options).groupBy("sample", "sv_id").agg(
         F.max("depth").alias("_deepest")

@@ -174,14 +174,14 @@ def assign(loci: DataFrame, clusters: DataFrame) -> DataFrame:
     """Probability of each cluster for each variant, and the most likely one.
 
     ``clusters``: (sample, cluster, ccf, weight).  Adds probs (cluster, ccf, prob in the
-    order of cluster), label and label_ccf."""
+    order of cluster), label and label_ccf, all NULL for a sample without a model."""
     ready = usable(loci).withColumns(
         {
             "_reach1": F.col("weight1") * F.col("mult1"),
             "_reach2": F.coalesce(F.col("weight2") * F.col("mult2"), F.lit(0.5)),
         }
     )
-    joined = lookup_join(ready, _model_rows(clusters), ["sample"], "inner")
+    joined = lookup_join(ready, _model_rows(clusters), ["sample"])
     scores = F.transform(
         "model",
         lambda m: F.log(F.greatest(m["weight"], F.lit(1e-300)))
@@ -216,10 +216,13 @@ def assignment_long(assigned: DataFrame) -> DataFrame:
     ).select("sample", "variant_id", "label", "_p.cluster", "_p.prob")
 
 
-def assignment_probability(assigned: DataFrame, n_clusters: int = DEFAULTS.clus_limit) -> DataFrame:
+def assignment_probability(assigned: DataFrame, n_clusters: int | None = None) -> DataFrame:
     """Wide form: cluster0, cluster1, ... in the order of the clusters that have any
-    variant; NULL beyond."""
-    present = assigned.select("sample", "label").distinct()
+    variant; NULL beyond.  ``n_clusters`` is the width at least; the table is as wide as the
+    largest model needs."""
+    largest = assigned.agg(F.max(F.size("probs"))).first()[0] or 0
+    n_clusters = max(n_clusters or 0, largest, 1)
+    present = assigned.filter("label IS NOT NULL").select("sample", "label").distinct()
     used = present.groupBy("sample").agg(F.array_sort(F.collect_set("label")).alias("_used"))
     joined = lookup_join(assigned, used, ["sample"])
     kept = F.filter("probs", lambda q: F.array_contains("_used", q["cluster"]))
@@ -383,11 +386,15 @@ def _starts(data: DataFrame, p: Params) -> DataFrame:
     cell fractions, moved a little more with each repeat.  One row per fit, with the
     centre c and the weight w of each cluster, NULL beyond its number of clusters."""
     grid = 100
-    marks = [i / grid for i in range(grid + 1)]
+    marks = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
     var, reach = (F.expr(t) for t in _TOTALS)
-    raw = data.select("sample", F.try_divide(var, reach).alias("ccf"), "freq")
-    spread = raw.groupBy("sample").agg(
-        F.percentile_approx("ccf", marks, 10_000).alias("marks"), F.sum("freq").alias("n")
+    # Cell fractions to three places: a bounded number of them for each sample, so that
+    # the quantiles over all variants are exact at that precision.
+    ccf = F.round(F.least(F.try_divide(var, reach), F.lit(20.0)), 3)
+    raw = data.select("sample", ccf.alias("ccf"), "freq")
+    counted = raw.groupBy("sample", "ccf").agg(F.sum("freq").alias("freq"))
+    spread = counted.groupBy("sample").agg(
+        F.percentile("ccf", marks, F.col("freq").cast("long")).alias("marks"), F.sum("freq").alias("n")
     )
 
     def start(k: int, r: int) -> Column:
@@ -473,12 +480,13 @@ def _step(
 def fit_clusters(
     loci: DataFrame, p: Params = DEFAULTS, tolerance: float = 1e-4
 ) -> DataFrame:
-    """Mixture fit per sample: (sample, k, cluster, ccf, weight), clusters from the
-    highest cell fraction down.
+    """Mixture fit per sample: (sample, k, cluster, ccf, weight, converged), clusters from
+    the highest cell fraction down.
 
     All numbers of clusters and repeats of all samples step together, a few steps in one
     job; then the fits are written, which cuts the lineage.  A fit stops when no centre
-    moves by ``tolerance``; the fit with the lowest information criterion is taken."""
+    moves by ``tolerance``; the fit with the lowest information criterion is taken, and
+    ``converged`` is false if it was still moving after ``n_iter`` steps."""
     spark = loci.sparkSession
     data = _distinct_loci(usable(loci))
     data = cut_lineage(data.repartition(spark.sparkContext.defaultParallelism))
@@ -501,11 +509,17 @@ def fit_clusters(
     best = (
         fits.withColumns({"_bic": F.round(criterion, 6), "centres": pairs})
         .groupBy("sample")
-        .agg(F.min(F.struct("_bic", "k", "repeat", "centres")).alias("b"))
+        .agg(F.min(F.struct("_bic", "k", "repeat", "centres", "done")).alias("b"))
     )
     ordered = F.reverse(F.array_sort(F.filter("b.centres", lambda c: c["ccf"].isNotNull())))
-    return best.select("sample", F.col("b.k").alias("k"), F.posexplode(ordered).alias("i", "c")).select(
-        "sample", "k", (F.col("i") + 1).alias("cluster"), F.col("c.ccf").alias("ccf"), F.col("c.weight").alias("weight")
+    named = best.select("sample", F.col("b.k").alias("k"), F.col("b.done").alias("converged"), F.posexplode(ordered).alias("i", "c"))
+    return named.select(
+        "sample",
+        "k",
+        (F.col("i") + 1).alias("cluster"),
+        F.col("c.ccf").alias("ccf"),
+        F.col("c.weight").alias("weight"),
+        "converged",
     )
 
 

@@ -5,8 +5,9 @@ Segments: (sample, chr, ordinal, startpos, endpos, states), closed at both ends;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..params import DEFAULTS, Params
 from ..session import cut_lineage
@@ -17,6 +18,15 @@ from .skew import lookup_join
 SEGMENT_BIN = 262_144
 
 
+def in_file_order(segments: DataFrame) -> DataFrame:
+    """Segments whose ``ordinal`` is a whole number; the place in a text file (a struct)
+    becomes the rank in its sample, which has few segments."""
+    if not isinstance(segments.schema["ordinal"].dataType, StructType):
+        return segments
+    order = Window.partitionBy("sample").orderBy("ordinal")
+    return segments.withColumn("ordinal", F.row_number().over(order).cast("long"))
+
+
 def with_neighbours(segments: DataFrame) -> DataFrame:
     """Each segment with the states of the segment before and after it in the file on
     its chromosome; at the edge its own."""
@@ -70,7 +80,7 @@ def nearest_boundaries(places: DataFrame, segments: DataFrame) -> DataFrame:
     nearest segment start and end either way, ``from_start``, whether the start is the
     nearer one (a tie goes to the end), and ``closest``, the columns of that segment.
     Among equally near segments the first in the file counts.  ``ordinal`` is a whole
-    number here."""
+    number here (see ``in_file_order``)."""
     blank = F.lit(None)
     edges = [
         segments.select(
@@ -212,7 +222,7 @@ def match_svs(
     A look-up position inside a segment takes its states, and the neighbour on the side
     of the nearest boundary as adjacent.  Otherwise the segment with the nearest boundary
     is adjacent (strict) or taken as the match with its neighbour as adjacent."""
-    around = cut_lineage(with_neighbours(segments))
+    around = cut_lineage(with_neighbours(in_file_order(segments)))
     # One row per place: ends that share a position share its nearest boundaries.
     asked = F.array(
         *[F.struct(F.col(f"chr{e}").alias("chr"), F.col(f"pos{e}").alias("pos")) for e in ends]

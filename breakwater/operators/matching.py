@@ -58,7 +58,7 @@ def match_sv_sets(
         named_l = named_l.withColumn("_group", F.lit(""))
         named_r = named_r.withColumn("_group", F.lit(""))
     else:
-        named_l = lookup_join(named_l, pairs, ["left_sample"], "inner")
+        named_l = lookup_join(named_l, pairs, ["left_sample"])
         named_l = named_l.withColumnRenamed("right_sample", "_group")
         named_r = named_r.withColumn("_group", F.col("right_sample"))
 

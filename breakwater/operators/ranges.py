@@ -108,7 +108,8 @@ def first_overlap(
     **options,
 ) -> DataFrame:
     """Each point with ``value`` of the covering interval that is lowest in ``order``
-    (NULL where none covers it).  Rows of ``points`` must be distinct."""
+    (NULL where none covers it).  Places are looked up once each, in narrow rows, and the
+    rows find their place again, so equal rows stay apart."""
     columns = points.columns
     side = intervals.select(
         *on,
@@ -117,22 +118,19 @@ def first_overlap(
         interval_span[0].alias("_from"),
         interval_span[1].alias("_to"),
     )
-    pairs, partitioning = overlap_join(
-        points,
+    placed = points.withColumn("_at", point)
+    places = placed.select(*on, "_at").filter(F.col("_at").isNotNull()).distinct()
+    pairs, _ = overlap_join(
+        places,
         side,
         on,
-        (point, point + 1),
+        (F.col("_at"), F.col("_at") + 1),
         (F.col("_from"), F.col("_to")),
         width,
-        how="left",
         **options,
     )
-    extra = [c for c in partitioning if c not in columns]
-    return (
-        pairs.groupBy(*columns, *extra)
-        .agg(F.min_by("_value", "_order").alias(name))
-        .select(*columns, name)
-    )
+    found = pairs.groupBy(*on, "_at").agg(F.min_by("_value", "_order").alias(name))
+    return skew.lookup_join(placed, found, [*on, "_at"]).select(*columns, name)
 
 
 def grid_join(

@@ -21,9 +21,27 @@ TASK_ROWS = 2_000_000
 SALTS = ("_left_salt", "_right_salt")
 
 
+# Bytes of files below which a side is small without a look at its rows.
+SMALL_BYTES = 4_000_000
+# Nodes under which the planner's size is no bound on the rows.
+_GROWING = ("Generate", "Join", "Expand", "Range", "MapIn", "FlatMap", "RDD", "Hive")
+
+
+def planned_bytes(df: DataFrame) -> int | None:
+    """Bytes that ``df`` is read from, if no part of its plan can make more rows of them."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in _GROWING):
+        return None
+    return int(str(plan.stats().sizeInBytes()))
+
+
 def measured(df: DataFrame, limit: int, rows_each: Column | None = None) -> tuple[DataFrame, bool]:
     """``df`` computed once and kept, and whether it has ``limit`` rows at most.
-    ``rows_each`` counts a row as several."""
+    ``rows_each`` counts a row as several; without it, a side read from few bytes, with no
+    node that makes rows, is small as it is: nothing is written or counted for it."""
+    planned = planned_bytes(df)
+    if rows_each is None and planned is not None and planned <= SMALL_BYTES and limit >= BROADCAST_ROWS:
+        return df, True
     kept = cut_lineage(df)
     if rows_each is None:
         return kept, kept.count() <= limit

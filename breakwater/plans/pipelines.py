@@ -112,7 +112,7 @@ def results(
 ) -> dict[str, DataFrame]:
     return {
         "model": model,
-        "assignment_probability": clustering.assignment_probability(assigned, p.clus_limit),
+        "assignment_probability": clustering.assignment_probability(assigned),
         "multiplicity": clustering.multiplicity(assigned),
         "subclonal_structure": clustering.subclonal_structure(assigned, model, params),
         "cluster_certainty": clustering.cluster_certainty(assigned, params),

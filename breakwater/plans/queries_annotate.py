@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..functions.genome import sv_class
@@ -13,9 +11,6 @@ from . import views
 from .queries_count import OVER, tables, window_steps
 from .registry import register
 
-# A cap that some of the narrow windows exceed.
-NARROW = replace(DEFAULTS, mean_cov=0.2)
-
 _LEN = "CASE WHEN align_start < 5 THEN len - align_end >= {t} AND ABS(ref_end - {at}) < {t} ELSE align_start >= {t} AND ABS(ref_start - {at}) < {t} END"
 
 
@@ -89,8 +84,8 @@ SELECT *, COALESCE(s0 > 0.1 AND s0 < 0.9, FALSE) OR COALESCE(s1 > 0.1 AND s1 < 0
 
 
 def _near(spark, sf_dir):
-    svs, reads, limits = tables(spark, sf_dir, NARROW)
-    return annotate.split_reads_at_ends(svs, reads, limits, NARROW)[0]
+    svs, reads, limits = tables(spark, sf_dir)
+    return annotate.split_reads_at_ends(svs, reads, limits)[0]
 
 
 @register(
@@ -105,7 +100,7 @@ FROM (SELECT DISTINCT sample, sv_id, bp, pos, dir FROM nr) p LEFT JOIN cr ON p.s
 """,
 )
 def consensus_breakpoint(spark, sf_dir):
-    return annotate.recalibrated_positions(_near(spark, sf_dir), NARROW)
+    return annotate.recalibrated_positions(_near(spark, sf_dir))
 
 
 @register(
@@ -115,7 +110,7 @@ def consensus_breakpoint(spark, sf_dir):
     sql="SELECT sample, sv_id, bp, mixed, COALESCE(cr, -1) AS ca_right, COALESCE(cl, -1) AS ca_left FROM ev",
 )
 def mixed_evidence(spark, sf_dir):
-    out = annotate.end_evidence(_near(spark, sf_dir), NARROW)
+    out = annotate.end_evidence(_near(spark, sf_dir))
     return out.select(
         "sample",
         "sv_id",
@@ -142,9 +137,9 @@ FROM sv s LEFT JOIN dr a ON a.sample = s.sample AND a.sv_id = s.sv_id AND a.bp =
 """,
 )
 def infer_direction(spark, sf_dir):
-    svs, reads, limits = tables(spark, sf_dir, NARROW)
+    svs, reads, limits = tables(spark, sf_dir)
     untagged = svs.withColumn("tags", F.array().cast("array<string>"))
-    out = annotate.infer_directions(untagged, reads, limits, NARROW)
+    out = annotate.infer_directions(untagged, reads, limits)
     return out.select(
         "sample",
         "sv_id",

@@ -11,11 +11,11 @@ from ..params import DEFAULTS
 from . import views
 from .registry import register
 
-# A low depth cap, so that some windows of the fixture exceed it.
-SHALLOW = replace(DEFAULTS, mean_cov=0.2)
+# The cap of a sample sequenced to a fifth of a read, for the query that shows the cap.
+CAPPED = replace(DEFAULTS, mean_cov=0.2)
 
 
-def tables(spark, sf_dir, p=SHALLOW):
+def tables(spark, sf_dir, p=DEFAULTS):
     """SVs, stored reads, and limits."""
     svs = views.view(spark, sf_dir, "sv")
     reads = views.stored(views.view(spark, sf_dir, "reads"))
@@ -25,19 +25,20 @@ def tables(spark, sf_dir, p=SHALLOW):
 
 # ---------------------------------------------------------------- SQL building blocks
 
-LIMITS = (
-    "lim",
-    """
+def limits_step(mean_cov: float = DEFAULTS.mean_cov) -> tuple[str, str]:
+    return (
+        "lim",
+        f"""
 SELECT sample, read_len, insert_mean, 2.0 * read_len AS min_ins, insert_mean + 3 * insert_std AS max_ins,
-  CAST(0.2 AS DOUBLE) * 2 * (insert_mean + 3 * insert_std) / read_len * 10 AS max_dp FROM params
+  CAST({mean_cov} AS DOUBLE) * 2 * (insert_mean + 3 * insert_std) / read_len * 10 AS max_dp FROM params
 """,
-)
+    )
 
 
-def window_steps(reach: str) -> tuple[tuple[str, str], ...]:
+def window_steps(reach: str, mean_cov: float = DEFAULTS.mean_cov) -> tuple[tuple[str, str], ...]:
     """CTEs: ends with their windows, all read pairs, SV status, distinct reads."""
     return (
-        LIMITS,
+        limits_step(mean_cov),
         (
             "win",
             f"""
@@ -195,7 +196,7 @@ OVER = ("sv", "reads", "params")
 
 def _labels(spark, sf_dir):
     svs, reads, limits = tables(spark, sf_dir)
-    return counting.labelled_reads(svs, reads, limits, SHALLOW)[0]
+    return counting.labelled_reads(svs, reads, limits)[0]
 
 
 @register(
@@ -223,7 +224,7 @@ SELECT sample, sv_id, bp, CAST(split_norm AS BIGINT) AS split_norm, CAST(norm_ol
 """,
 )
 def breakend_read_counts(spark, sf_dir):
-    return counting.breakend_counts(_labels(spark, sf_dir), SHALLOW).drop("win_norm")
+    return counting.breakend_counts(_labels(spark, sf_dir)).drop("win_norm")
 
 
 @register(
@@ -233,7 +234,7 @@ def breakend_read_counts(spark, sf_dir):
     sql="SELECT sample, sv_id, bp, CAST(win_norm AS BIGINT) AS win_norm FROM ec",
 )
 def window_normal_count(spark, sf_dir):
-    counts = counting.breakend_counts(_labels(spark, sf_dir), SHALLOW)
+    counts = counting.breakend_counts(_labels(spark, sf_dir))
     return counts.select("sample", "sv_id", "bp", "win_norm")
 
 
@@ -247,7 +248,7 @@ FROM sp GROUP BY sample, sv_id
 """,
 )
 def spanning_pair_counts(spark, sf_dir):
-    return counting.spanning_counts(_labels(spark, sf_dir), SHALLOW)
+    return counting.spanning_counts(_labels(spark, sf_dir))
 
 
 def _wide(name: str, e: int) -> str:
@@ -293,7 +294,7 @@ SELECT *, ROUND(CASE WHEN support = 0 THEN 0 ELSE support / CAST(support + norm1
 )
 def sv_counts(spark, sf_dir):
     svs, reads, limits = tables(spark, sf_dir)
-    out = counting.sv_counts(svs, reads, limits, SHALLOW)
+    out = counting.sv_counts(svs, reads, limits)
     names = [f"{c}{e}" for e in (1, 2) for c in counting.COUNTS]
     return out.select(
         "sample",
@@ -310,6 +311,21 @@ def sv_counts(spark, sf_dir):
     )
 
 
+@register(
+    "sv_status_capped",
+    over=OVER,
+    steps=window_steps("max_ins", CAPPED.mean_cov),
+    sql="SELECT sample, sv_id, status FROM stat",
+)
+def sv_status_capped(spark, sf_dir):
+    """Windows above the depth cap, of which the fixture has many at so low a coverage."""
+    svs, reads, limits = tables(spark, sf_dir, CAPPED)
+    ready = counting.countable(svs, limits, CAPPED)
+    windows = counting.breakend_windows(ready, F.col("max_ins"))
+    out = counting.sv_status(ready, windows, reads)
+    return out.select("sample", "sv_id", F.coalesce("status", F.lit("")).alias("status"))
+
+
 @register(
     "anomalous_recount",
     over=OVER,
@@ -331,7 +347,7 @@ GROUP BY rd.sample, rd.sv_id
 """,
 )
 def anomalous_recount(spark, sf_dir):
-    return counting.anomalous_recount(_labels(spark, sf_dir), SHALLOW)
+    return counting.anomalous_recount(_labels(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- read parameters
@@ -340,40 +356,25 @@ def anomalous_recount(spark, sf_dir):
 @register(
     "read_stats",
     over=("reads",),
-    steps=(
-        (
-            "k",
-            """
-SELECT *, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY chrom, ref_start, ref_end, query_name, ins_len, align_start, align_end) AS n FROM reads
-""",
-        ),
-    ),
     sql="""
-SELECT sample, CAST(MIN(CASE WHEN n <= 1000 THEN len END) AS BIGINT) AS read_len,
-  ROUND(AVG(CASE WHEN n <= 50000 AND ins_len > 0 AND ABS(ins_len) < 1000 THEN CAST(ins_len + ref_start % 7 AS DOUBLE) END), 6) AS insert_mean,
-  ROUND(STDDEV_POP(CASE WHEN n <= 50000 AND ins_len > 0 AND ABS(ins_len) < 1000 THEN CAST(ins_len + ref_start % 7 AS DOUBLE) END), 6) AS insert_std,
-  TRUE AS is_paired, COUNT(*) AS n_mapped FROM k GROUP BY sample
+SELECT sample, CAST(MIN(len) AS BIGINT) AS read_len,
+  ROUND(AVG(CASE WHEN ins_len > 0 AND ABS(ins_len) < 1000 THEN CAST(ins_len + ref_start % 7 AS DOUBLE) END), 6) AS insert_mean,
+  ROUND(STDDEV_POP(CASE WHEN ins_len > 0 AND ABS(ins_len) < 1000 THEN CAST(ins_len + ref_start % 7 AS DOUBLE) END), 6) AS insert_std,
+  TRUE AS is_paired, COUNT(*) AS n_mapped FROM reads GROUP BY sample
 """,
 )
 def read_stats(spark, sf_dir):
-    reads = views.stored(views.view(spark, sf_dir, "reads")).withColumns(
-        {
-            "is_proper_pair": F.abs("ins_len") < 1000,
-            "is_paired": F.lit(True),
-            "is_mapped": F.lit(True),
-            "tlen": F.col("ins_len") + F.when(F.col("ins_len") > 0, F.col("ref_start") % 7).otherwise(0),
-        }
-    )
-    fields = ("chrom", "ref_start", "ref_end", "query_name", "ins_len", "align_start", "align_end")
-    order = [F.col(f"o_{c}") for c in fields]
-    reads = reads.withColumns({f"o_{c}": F.col(c) for c in fields}).withColumn("ins_len", F.col("tlen"))
-    slim = reads.select(
-        "sample", "len", "ins_len", "is_proper_pair", "is_paired", "is_mapped", *[f"o_{c}" for c in fields]
-    )
-    out = counting.read_stats(slim, order)
-    return out.withColumns(
-        {c: F.round(c, 6) for c in ("insert_mean", "insert_std")}
+    drift = F.when(F.col("ins_len") > 0, F.col("ref_start") % 7).otherwise(0)
+    reads = views.stored(views.view(spark, sf_dir, "reads")).select(
+        "sample",
+        "len",
+        (F.col("ins_len") + drift).alias("ins_len"),
+        (F.abs("ins_len") < 1000).alias("is_proper_pair"),
+        F.lit(True).alias("is_paired"),
+        F.lit(True).alias("is_mapped"),
     )
+    out = counting.read_stats(reads)
+    return out.withColumns({c: F.round(c, 6) for c in ("insert_mean", "insert_std")})
 
 
 @register(

@@ -421,24 +421,36 @@ def match_cnv_sv(spark, sf_dir):
 @register(
     "nearest_cnv",
     over=("sv_cnt", "cnv"),
-    steps=(SEG, LOOK, HIT, ENDS, NEAR),
+    steps=(
+        SEG,
+        LOOK,
+        HIT,
+        ENDS,
+        NEAR,
+        (
+            "each",
+            """
+SELECT x.sample, x.sv_id, x.e, COALESCE(gt, CASE WHEN ds < de THEN gs ELSE ge END, '') AS gtype,
+  COALESCE(CASE WHEN gt IS NOT NULL THEN CASE WHEN ds > de THEN next_gt ELSE prev_gt END ELSE CASE WHEN ds < de THEN ps ELSE ne END END, '') AS adjacent,
+  COALESCE(LEAST(ds, de), -1) AS dist
+FROM ends x LEFT JOIN near n ON x.sample = n.sample AND x.sv_id = n.sv_id AND x.e = n.e
+""",
+        ),
+    ),
     sql="""
-SELECT x.sample, x.sv_id, COALESCE(gt, CASE WHEN ds < de THEN gs ELSE ge END, '') AS gtype1,
-  COALESCE(CASE WHEN gt IS NOT NULL THEN CASE WHEN ds > de THEN next_gt ELSE prev_gt END ELSE CASE WHEN ds < de THEN ps ELSE ne END END, '') AS adjacent1,
-  COALESCE(LEAST(ds, de), -1) AS dist1
-FROM ends x LEFT JOIN near n ON x.sample = n.sample AND x.sv_id = n.sv_id AND x.e = n.e WHERE x.e = 1
+SELECT a.sample, a.sv_id, a.gtype AS gtype1, a.adjacent AS adjacent1, a.dist AS dist1, b.gtype AS gtype2, b.adjacent AS adjacent2, b.dist AS dist2
+FROM each a JOIN each b ON a.sample = b.sample AND a.sv_id = b.sv_id AND a.e = 1 AND b.e = 2
 """,
 )
 def nearest_cnv(spark, sf_dir):
     lenient = replace(DEFAULTS, strict_cnv=False)
-    out = copynumber.match_svs(sv_cnt(spark, sf_dir), segments(spark, sf_dir), lenient, (1,))
-    return out.select(
-        "sample",
-        "sv_id",
-        F.coalesce(genotype.render(F.col("states1")), F.lit("")).alias("gtype1"),
-        F.coalesce(genotype.render(F.col("adjacent_states1")), F.lit("")).alias("adjacent1"),
-        F.coalesce(F.col("boundary_dist1"), F.lit(-1)).alias("dist1"),
-    )
+    out = copynumber.match_svs(sv_cnt(spark, sf_dir), segments(spark, sf_dir), lenient)
+    shown = {}
+    for e in (1, 2):
+        shown[f"gtype{e}"] = F.coalesce(genotype.render(F.col(f"states{e}")), F.lit(""))
+        shown[f"adjacent{e}"] = F.coalesce(genotype.render(F.col(f"adjacent_states{e}")), F.lit(""))
+        shown[f"dist{e}"] = F.coalesce(F.col(f"boundary_dist{e}"), F.lit(-1))
+    return out.select("sample", "sv_id", *[c.alias(n) for n, c in shown.items()])
 
 
 @register(

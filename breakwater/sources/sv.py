@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import vcf
 from ..functions.genome import canonical_breakends, strip_chr
-from .text import number
+from .text import number, row_id
 
 
 def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -30,6 +30,7 @@ def sv_simple(
     unknown = F.lit(None).cast("string")
     svs = table.select(
         "sample",
+        row_id(table).alias("sv_id"),
         "ordinal",
         F.col("chr1").cast("string").alias("chr1"),
         number("pos1", "bigint").alias("pos1"),
@@ -82,6 +83,7 @@ def sv_caller_table(
     (chr1, pos1), (chr2, pos2) = end("pos1"), end("pos2")
     svs = table.filter(keep).select(
         "sample",
+        row_id(table).alias("sv_id"),
         "ordinal",
         chr1.alias("chr1"),
         pos1.alias("pos1"),
@@ -108,6 +110,7 @@ def sv_vcf(lines: DataFrame, use_dir: bool = True, class_field: str | None = Non
         .select(
             "sample",
             "path",
+            row_id(lines).alias("sv_id"),
             "ordinal",
             "id",
             F.get(F.split(named_mate, ","), 0).alias("mate"),
@@ -124,6 +127,7 @@ def sv_vcf(lines: DataFrame, use_dir: bool = True, class_field: str | None = Non
     ).filter(~mutual | (F.col("a.ordinal") < F.col("b.ordinal")))
     return pairs.select(
         F.col("a.sample").alias("sample"),
+        F.col("a.sv_id").alias("sv_id"),
         F.col("a.ordinal").alias("ordinal"),
         F.col("a.chrom").alias("chr1"),
         F.col("a.pos").alias("pos1"),

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -55,6 +56,13 @@ def lines_to_table(lines: DataFrame, names: Sequence[str], sep: str = "\t") -> D
     return parsed.select(*rest, "_row.*")
 
 
+def row_id(df: DataFrame) -> Column:
+    """A number of its own for each row of a table read from text: its place in the file,
+    or the ordinal itself where that is a number."""
+    kind = df.schema["ordinal"].dataType
+    return (F.col("ordinal.row") if isinstance(kind, StructType) else F.col("ordinal")).cast("long")
+
+
 def number(col: Column | str, kind: str = "double") -> Column:
     """Number in a text field; NULL for NA and the like."""
     col = F.col(col) if isinstance(col, str) else col
