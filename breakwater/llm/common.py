@@ -40,8 +40,17 @@ def renamed(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A table of few rows that the driver holds (handed over as Arrow, so that no worker
+    processes start for it)."""
+    columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
+    return spark.createDataFrame(
+        pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds.items(), strict=True)})
+    )
+
+
 def numbered(df: DataFrame, order: Sequence[str], group: str | None = None, name: str = "number") -> DataFrame:
-    """``df`` with a gapless number from 0 in the given order (within ``group``), without
+    """``df`` with a gapless number from 0 in the given order (within ``group``, an int), without
     one task for all: rows are dealt by range of the whole order, counted in each range,
     and shifted by the rows of the ranges before.  The ranges are stored, so the numbers
     stay the same if a task runs again.  What is broadcast is one row for each range and
@@ -54,24 +63,17 @@ def numbered(df: DataFrame, order: Sequence[str], group: str | None = None, name
         .withColumn("_range", F.spark_partition_id())
     )
     keys = [group] if group else []
-    found = ranged.groupBy("_range", *keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).collect()
+    marked = ranged.withColumn("_mark", F.col(group) if group else F.lit(0))
+    found = marked.groupBy("_range", "_mark").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).collect()
     found.sort(key=lambda r: (r["_range"], r["_first"]))
     before: dict = {}
     shifts = []
     for r in found:
-        g = r[group] if group else None
-        shifts.append((r["_range"], *([g] if group else []), before.get(g, 0) - r["_first"]))
-        before[g] = before.get(g, 0) + r["_n"]
-    spark = df.sparkSession
-    fields = [f for f in ranged.schema.fields if f.name in ("_range", group)]
-    fields.sort(key=lambda f: f.name != "_range")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_shift long"])
-    shift = F.broadcast(spark.createDataFrame(shifts, schema).withColumnsRenamed({group: "_group"} if group else {}))
-    on = ranged["_range"] == shift["_range"]
-    if group:
-        on = on & ranged[group].eqNullSafe(shift["_group"])
-    return ranged.join(shift, on, "left").select(
-        *[ranged[f"`{c}`"] for c in df.columns], (F.col("_at") + F.col("_shift")).alias(name)
+        shifts.append((r["_range"], r["_mark"], before.get(r["_mark"], 0) - r["_first"]))
+        before[r["_mark"]] = before.get(r["_mark"], 0) + r["_n"]
+    shift = small_table(df.sparkSession, shifts, _range=pa.int32(), _mark=pa.int32(), _shift=pa.int64())
+    return marked.join(F.broadcast(shift), ["_range", "_mark"]).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("_at") + F.col("_shift")).alias(name)
     )
 
 

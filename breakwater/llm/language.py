@@ -129,8 +129,12 @@ def fit(
     if not languages:
         return Filters([], [], slot_bits, hashes)
     spark = labelled.sparkSession
-    parts = spark.createDataFrame(
-        [(name, number[name], int(min(1.0, sample / n) * 2**32)) for name, n in sizes.items()], "lang string, number int, upto long"
+    parts = common.small_table(
+        spark,
+        [(name, number[name], int(min(1.0, sample / n) * 2**32)) for name, n in sizes.items()],
+        lang=pa.string(),
+        number=pa.int32(),
+        upto=pa.int64(),
     )
     drawn = labelled.join(F.broadcast(parts), "lang").filter(F.pmod(F.xxhash64("draw"), F.lit(2**32)) < F.col("upto")).select("number", "text")
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def propagate(classes: DataFrame, share: dict[int, int], rounds: int = ROUNDS) -
             if (a, b, g, k) in taken:
                 have[a] -= n
                 have[b] += n
-        moves = F.broadcast(spark.createDataFrame(sorted(taken), ", ".join(f"{c} int" for c in DEMAND)).withColumn("moves", F.lit(True)))
+        moves = F.broadcast(common.small_table(spark, sorted(taken), **{c: pa.int32() for c in DEMAND}).withColumn("moves", F.lit(True)))
         new = common.stored(
             asked.join(moves, list(DEMAND), "left").select(
                 "grp", "home", "n", F.when(F.col("moves"), F.col("wish")).otherwise(F.col("shard")).alias("shard")

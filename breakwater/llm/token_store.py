@@ -232,8 +232,8 @@ def _with_starts(manifest: DataFrame) -> DataFrame:
     for r in sorted(manifest.collect(), key=lambda r: r["shard"]):
         rows.append((*r, start))
         start += r["ids"]
-    spark = manifest.sparkSession
-    return spark.createDataFrame(rows, f"{MANIFEST}, shard_start long").repartition(max(1, len(rows)), "shard")
+    kinds = {f.name: f.type for f in MANIFEST_ARROW} | {"shard_start": pa.int64()}
+    return common.small_table(manifest.sparkSession, rows, **kinds).repartition(max(1, len(rows)), "shard")
 
 
 def read_back(manifest: DataFrame, folder: str) -> DataFrame:
