@@ -9,6 +9,7 @@ from ..functions import genotype
 from ..operators import annotate, clustering, copynumber, counting, filters, matching, mixed
 from ..operators.skew import lookup_join
 from ..params import DEFAULTS, Params
+from ..session import cut_lineage
 
 
 def annotate_svs(
@@ -101,12 +102,44 @@ def filter_snvs(
     return filters.cn_filters_snv(copynumber.match_snvs(kept, segments, **options), p)
 
 
+def check_chromosomes(svs: DataFrame, segments: DataFrame) -> None:
+    """Raise if no SV lies on a chromosome that the segments name, as when one of the two
+    writes ``chr1`` and the other ``1``; every state would be NULL without a word."""
+    named = svs.select(F.explode(F.array("chr1", "chr2")).alias("chr")).distinct()
+    if named.join(segments.select("chr").distinct(), "chr", "left_semi").isEmpty() and not named.isEmpty():
+        raise ValueError("SVs and copy-number segments share no chromosome name")
+
+
+def fit(loci: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Model of each sample; a sample with one variant has one cluster at its cell fraction."""
+    alone = clustering.single_variant_model(clustering.usable(loci)).select(
+        "sample", F.lit(1).alias("k"), "cluster", "ccf", "weight", F.lit(True).alias("converged")
+    )
+    several = loci.join(alone.select("sample"), "sample", "left_anti")
+    return clustering.fit_clusters(several, p).unionByName(alone)
+
+
 def cluster(loci: DataFrame, params: DataFrame, p: Params = DEFAULTS) -> dict[str, DataFrame]:
     """Model of each sample and its result tables."""
-    model = clustering.fit_clusters(loci, p)
+    model = fit(loci, p)
     return results(clustering.assign(loci, model), model, params, p)
 
 
+def postassign(
+    sv_loci: DataFrame, snv_loci: DataFrame, sv_model: DataFrame, snv_model: DataFrame, params: DataFrame, p: Params = DEFAULTS
+) -> dict[str, dict[str, DataFrame]]:
+    """Result tables of SVs and of SNVs under the model that both were merged into."""
+    sized = [
+        clustering.with_sizes(model, clustering.assign(loci, model))
+        for loci, model in ((snv_loci, snv_model), (sv_loci, sv_model))
+    ]
+    joint = cut_lineage(clustering.merged_model(*sized))
+    return {
+        kind: results(clustering.assign(loci, joint), joint, params, p)
+        for kind, loci in (("sv", sv_loci), ("snv", snv_loci))
+    }
+
+
 def results(
     assigned: DataFrame, model: DataFrame, params: DataFrame, p: Params = DEFAULTS
 ) -> dict[str, DataFrame]:

@@ -31,3 +31,9 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     writer.option("sep", "\t").option("header", True).option("nullValue", "").option(
         "emptyValue", ""
     ).csv(path)
+
+
+def write_results(tables: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
+    """Result tables of the cluster or post-assignment step, a folder of text for each."""
+    for name, table in tables.items():
+        write_tsv(table, f"{folder}/{name}", mode)
