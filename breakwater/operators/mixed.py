@@ -64,9 +64,14 @@ def doubly_mixed_patterns(svs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
     for e in (1, 2):
         other = single.select(
-            "sample", F.col("sv_id").alias(f"mate{e}"), shape.alias(f"partner{e}")
+            "sample",
+            F.col("sv_id").alias(f"mate{e}"),
+            F.lit(0).cast("long").alias("_spread"),
+            shape.alias(f"partner{e}"),
         )
-        full = full.join(other, ["sample", f"mate{e}"], "left")
+        # SVs without a mate meet nobody; spread out, they do not all land in one task
+        spread = F.when(F.col(f"mate{e}").isNull(), F.col("sv_id")).otherwise(0).cast("long")
+        full = full.withColumn("_spread", spread).join(other, ["sample", f"mate{e}", "_spread"], "left").drop("_spread")
     one_each = (F.col("n1") == 1) & (F.col("n2") == 1)
     closed = one_each & F.col("partner1").isNotNull() & F.col("partner2").isNotNull()
     same = F.col("mate1") == F.col("mate2")
