@@ -8,7 +8,7 @@ bits set before.  For each place the index keeps a fingerprint of the key, so th
 that was never written is refused, and the number of its first record.  Looking a key up
 takes a search among shard bounds, one hash per level, and one read of its ids.
 
-    header   32 bytes: magic, version, bytes per id, records, keys, ids
+    header   16 bytes: magic, version, bytes per id
     ids      uint16 or uint32, little-endian
     records  per document: int64 start, int64 number of ids, int64 key, uint8 key is null
     index    per key: uint32 fingerprint, int64 first record; then the levels
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 MAGIC = b"BWTOKEN1"
-HEADER = struct.Struct("<8sIIqq")
+HEADER = struct.Struct("<8sII")
 FOOTER = struct.Struct("<qqq8s")
 RECORD = np.dtype([("start", "<i8"), ("length", "<i8"), ("key", "<i8"), ("null", "u1")])
 MANIFEST = "shard int, file string, records long, ids long, first_key long, last_key long"
@@ -105,7 +105,7 @@ def write_shard(folder: str, shard: int, docs: Iterator[tuple[int | None, np.nda
     lengths, keys, nulls, at = [], [], [], 0
     kind = f"<u{id_bytes}"
     with fs.open_output_stream(attempt, buffer_size=1 << 20) as out:
-        out.write(HEADER.pack(MAGIC, 1, id_bytes, 0, 0))
+        out.write(HEADER.pack(MAGIC, 1, id_bytes))
         for key, ids in docs:
             out.write(ids.astype(kind).tobytes())
             lengths.append(len(ids))
@@ -144,7 +144,7 @@ class Shard:
         fs, path = _filesystem(folder)
         self.file = fs.open_input_file(f"{path}/{name}")
         self.size = self.file.size()
-        magic, version, self.id_bytes, _, _ = HEADER.unpack(self.file.read_at(HEADER.size, 0))
+        magic, version, self.id_bytes = HEADER.unpack(self.file.read_at(HEADER.size, 0))
         self.records_at, self.index_at, self.levels_at, end = FOOTER.unpack(
             self.file.read_at(FOOTER.size, self.size - FOOTER.size)
         )
