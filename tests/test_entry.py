@@ -6,15 +6,16 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from breakwater.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ("filter_sv_basic", "pair_vcf_mates", "match_cnv_snv", "blacklist_sv", "anti_germline", "position_ranks")
+SOME = ("filter_sv_basic", "read_stats", "nearest_cnv", "sv_status_capped", "pair_vcf_mates", "match_cnv_snv", "blacklist_sv", "anti_germline", "position_ranks")
 
 
 def test_every_oracle_has_a_query():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"fit_ccf_clusters"}
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) <= set(queries)
 
 
 def test_class_works_on_a_stream(spark, tmp_path):
