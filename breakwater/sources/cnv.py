@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype
-from .text import number
+from .text import lines_to_table, number
 
 # Column names of the headerless csv format (fixed values).
 CSV_NAMES = (
@@ -75,8 +75,16 @@ def ascat(df: DataFrame) -> DataFrame:
 
 
 def segments(df: DataFrame) -> DataFrame:
-    """Read any of the formats, told apart by a column only it has."""
-    names = set(df.columns)
+    """Read any of the formats, told apart by a column only it has.  A table without columns
+    (an empty file) gives no segments; whole lines (``line``, from ``read_lines``) are those of
+    the headerless csv format."""
+    names = set(df.columns) - {"sample", "path", "ordinal"}
+    if not names:
+        unknown = F.lit(None).cast("string")
+        nothing = df.withColumns({c: unknown for c in CSV_NAMES})
+        return ascat(nothing).filter(F.lit(False))
+    if names == {"line"}:
+        return ascat(lines_to_table(df, CSV_NAMES, ","))
     if "nMaj1_A" in names:
         return battenberg(df)
     if "battenberg_nMaj1_A" in names:
@@ -87,4 +95,4 @@ def segments(df: DataFrame) -> DataFrame:
         return titan(df)
     if "tumour_total" in names:
         return ascat(df)
-    raise ValueError("copy-number columns not recognised")
+    raise ValueError(f"copy-number columns not recognised: {sorted(names)}")

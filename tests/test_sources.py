@@ -129,3 +129,14 @@ def test_sinks(spark, tmp_path):
     assert "1.0,1.0,0.7|2.0,1.0,0.3" in text and "2\t\n" in text
     sinks.write_parquet(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_copy_number_dispatch(spark, tmp_path):
+    f = write(tmp_path / "a.csv", ("1,1,100,200,2,1,3,1",), ("2,2,300,400,2,1,2,0",))
+    out = cnv.segments(read_lines(spark, f).withColumn("sample", F.lit("S"))).orderBy("chr").collect()
+    assert [(r.chr, r.startpos, r.endpos) for r in out] == [("1", 100, 200), ("2", 300, 400)]
+    assert [(r.states[0][0], r.states[0][1]) for r in out] == [(2.0, 1.0), (2.0, 0.0)]
+    empty = spark.createDataFrame([], "sample string, ordinal long")
+    assert cnv.segments(empty).collect() == [] and "states" in cnv.segments(empty).columns
+    with pytest.raises(ValueError, match="not recognised"):
+        cnv.segments(spark.createDataFrame([], "sample string, ordinal long, a string"))
