@@ -30,27 +30,39 @@ WORDS = 4
 BITS = 4
 SEGMENT_BITS = 2
 GROUPS = range(7, 13)
+#: Near copies by likeness: words of a shingle, the least Jaccard similarity of the sets of
+#: shingles, and the bits by which fingerprints of such texts may differ (10 on average, 12
+#: for sets of five, each with a deviation of 3).
+COPY_WORDS, COPY_LEAST, COPY_BITS = 5, 0.8, 28
+#: Texts meet that have the same least hashes under all functions of a band.  Of pairs at
+#: 0.8, a part of (1 - 0.8 ** 4) ** 16 = 0.0002 meets in no band.
+BANDS, BAND_ROWS = 16, 4
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """SimHash of a text over its shingles, repeats included (0 without words)."""
+def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
+    """Hashes of a text's shingles, repeats included (none without words)."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     # bytes.split() cuts at exactly the six white-space bytes 0x09-0x0D and 0x20
     if not parts:
-        return 0
+        return []
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     n = len(parts) - words + 1
     if n <= 1:
-        hashes = [digest(joined, SEED)]
-    else:
-        starts = np.cumsum([0, *map(len, parts)]) + np.arange(len(parts) + 1)
-        begin, end = starts[:n].tolist(), (starts[words:] - 1).tolist()
-        hashes = [digest(joined[b:e], SEED) for b, e in zip(begin, end, strict=True)]
+        return [digest(joined, SEED)]
+    starts = np.cumsum([0, *map(len, parts)]) + np.arange(len(parts) + 1)
+    begin, end = starts[:n].tolist(), (starts[words:] - 1).tolist()
+    return [digest(joined[b:e], SEED) for b, e in zip(begin, end, strict=True)]
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """Bits that are set in more than half of the hashes (0 without any)."""
+    if not len(hashes):
+        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = np.array(hashes[at : at + 65_536], "<u8")
@@ -59,6 +71,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(set_bits.view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """SimHash of a text over its shingles, repeats included (0 without words)."""
+    return majority(shingle_hashes(text, words))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -242,3 +259,119 @@ def near_duplicates(
     return marked.join(of_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+_FLIP, _FACTOR = (
+    np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A name for each band of a set of shingle hashes."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(least, ((shingles[at : at + 4096, None] ^ _FLIP) * _FACTOR).min(axis=0), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def copy_links(keys: list[int], sets: list[np.ndarray], least: float = COPY_LEAST, bits: int = COPY_BITS) -> list[tuple[int, int]]:
+    """Edges that join whatever of ``keys`` can be reached over pairs of sets at a Jaccard
+    similarity of ``least`` or more, whose fingerprints differ in ``bits`` or fewer bits."""
+    sizes = np.array([len(s) for s in sets])
+    fps = np.array([majority(s) for s in sets], np.uint64)
+    out: list[tuple[int, int]] = []
+    pool, queue = np.arange(len(keys)), []
+    while len(pool) and (queue or len(pool) > 1):
+        if queue:
+            at = queue.pop()
+        else:
+            at, pool = int(pool[0]), pool[1:]
+        # sizes bound the similarity
+        maybe = pool[
+            (np.bitwise_count(fps[pool] ^ fps[at]) <= bits)
+            & (np.minimum(sizes[pool], sizes[at]) >= least * np.maximum(sizes[pool], sizes[at]))
+        ]
+        near = []
+        for k in maybe.tolist():
+            place = np.searchsorted(sets[at], sets[k])
+            both = int((sets[at][np.minimum(place, sizes[at] - 1)] == sets[k]).sum())
+            if both >= least * (sizes[at] + sizes[k] - both):
+                near.append(k)
+        out += [(keys[at], keys[k]) for k in near]
+        queue += near
+        pool = pool[~np.isin(pool, near)]
+    return out
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = COPY_WORDS,
+    least: float = COPY_LEAST,
+    bits: int = COPY_BITS,
+) -> DataFrame:
+    """A row per row of ``docs``: doc_id, component_id, the least doc_id reachable over pairs
+    of texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    At that similarity too many bits may differ for cells of equal counts, so texts meet by
+    bands of least shingle hashes; in a cell the fingerprints' radius comes first, then the
+    similarity is counted exactly.  Texts of equal sets are one node; cells of the same nodes
+    are looked at once; only texts that meet others are read again for their sets.  The sets
+    of a cell lie in one task.  Null and wordless texts are copies of each other; a null id is
+    never a least id."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    src = common.renamed(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text, tid=F.xxhash64(text))
+
+    def mark(b):
+        import xxhash
+
+        keys, cells = [], []
+        for t in b.column("text"):
+            own = np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64))
+            keys.append(signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
+            cells.append(bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
+        columns = [b.column("doc_id"), b.column("tid"), pa.array(keys, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "key", "cells"])
+
+    def read(b):
+        sets = [np.unique(np.array(shingle_hashes(t.as_py(), words), "<u8")).tobytes() for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], ["key", "set"])
+
+    def compared(batches):
+        open_cell, keys, sets = None, [], []
+
+        def result(keys, sets):
+            pairs = copy_links(keys, sets, least, bits)
+            if pairs:
+                a, b = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for cell, key, own in zip(batch.column("cell").to_pylist(), batch.column("key").to_pylist(), batch.column("set"), strict=True):
+                if cell != open_cell:
+                    yield from result(keys, sets)
+                    open_cell, keys, sets = cell, [], []
+                keys.append(key)
+                # a copy, so that the batch is not kept
+                sets.append(np.frombuffer(own.as_buffer(), np.uint64).copy())
+        yield from result(keys, sets)
+
+    marked = common.stored(common.map_batches(src, mark, "doc_id long, tid long, key long, cells array<long>"))
+    nodes = common.stored(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("tid").alias("tid"), F.first("cells").alias("cells")))
+    dealt = nodes.select("key", F.explode("cells").alias("cell"))
+    alike = [F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("all")]
+    met = dealt.groupBy("cell").agg(*alike).filter("n > 1").groupBy("n", "low", "high", "all").agg(F.min("cell").alias("cell"))
+    members = common.stored(dealt.join(met.select("cell"), "cell", "left_semi"))
+    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select("tid", "key")
+    texts = src.select("tid", "text").join(wanted, "tid").dropDuplicates(["key"]).select("key", "text")
+    sets = common.stored(common.map_batches(texts, read, "key long, set binary"))
+    edges = members.join(sets, "key").select("cell", "key", "set").repartition("cell").sortWithinPartitions("cell")
+    reached = components(edges.mapInArrow(compared, "a long, b long"))
+    rooted = nodes.join(reached, nodes["key"] == reached["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "key").join(rooted.join(lowest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")

@@ -34,10 +34,10 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group the document of the least id stays, of rows of equal
+    """SimHash near-dedup: of each group of texts alike to 0.8 in shingles of five words the document of the least id stays, of rows of equal
     id one.  Rows without an id cannot be named by a group and stay."""
     docs = docs.select(*COLUMNS)
-    groups = common.stored(simhash.near_duplicates(docs))
+    groups = common.stored(simhash.near_copies(docs))
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
     ids = common.stored(kept.distinct())
     stays = docs.join(ids, "doc_id", "left_semi")
