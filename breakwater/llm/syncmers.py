@@ -83,8 +83,13 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str, k: int = K, s: int = S, size: int = SIZE) -> np.ndarray:
-    """The least anchor hashes, 32 bits each, ascending, different."""
-    return np.unique(anchors(text, k, s)[1] >> np.uint64(32))[:size].astype("<u4")
+    """The least anchor hashes, 32 bits each, ascending, different; of a text that has
+    characters but no anchor, the hash of the whole text."""
+    hashes = anchors(text, k, s)[1]
+    if text and not len(hashes):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        hashes = _window_hashes(codes, len(codes))
+    return np.unique(hashes >> np.uint64(32))[:size].astype("<u4")
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:

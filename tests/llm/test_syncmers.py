@@ -79,3 +79,14 @@ def test_messy_table(messy, no_rows):
 def test_only_null_ids(spark):
     t = spark.createDataFrame([(None, "one text here"), (None, "another one")], "doc_id long, text string")
     assert len(syncmers.fingerprint_documents(t, parts=3).collect()) == 2
+
+
+def test_short_texts_without_anchors():
+    rng = np.random.default_rng(16)
+    texts = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, n)) for n in range(16, 22) for _ in range(40)]
+    bare = [t for t in texts if not len(syncmers.anchors(t)[0])]
+    assert {16, 17, 18} <= {len(t) for t in bare}
+    sketches = [syncmers.sketch(t) for t in bare]
+    assert all(len(x) for x in sketches) and len({syncmers.text_of(x) for x in sketches}) == len(set(bare))
+    assert syncmers.likeness(sketches[0], sketches[1]) == 0.0 and syncmers.likeness(sketches[0], sketches[0]) == 1.0
+    assert not len(syncmers.sketch(""))
