@@ -89,6 +89,16 @@ def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+
+def free_shuffles(df: DataFrame) -> None:
+    """Let the driver notice that the shuffles behind a stored table are over, so that their
+    files go now and not whenever it happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
