@@ -127,3 +127,10 @@ def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_nra_search"] = ranked_search.SQL
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
