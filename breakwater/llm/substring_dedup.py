@@ -255,6 +255,22 @@ def _kept(texts: list[bytes], runs: list[np.ndarray | None], copies: list[bool])
         yield own.removesuffix(b" ").decode("utf-8", "surrogatepass"), int(n[i]), int(n[i]) - left
 
 
+def _repeated_anchors(src: DataFrame) -> DataFrame:
+    """(text, marks): the places in each text of anchors that stand at several places."""
+    dealt = src.select("t1", "text").mapInArrow(_find_anchors, "key long, kind byte, text long, pos int")
+    met = dealt.repartition("key").sortWithinPartitions("key", F.desc("kind"), "text", "pos").mapInArrow(_marks, "text long, pos int")
+    return common.stored(_packed(met, "text", np.unique, "marks"))
+
+
+def _repeated_runs(src: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, runs): the words of each node's text that equal windows before it cover."""
+    own = (src["t1"] == nodes["t1"]) & (src["t2"] == nodes["t2"]) & src["doc_id"].eqNullSafe(nodes["doc_id"])
+    read = src.join(nodes, own).select("node", "text", "marks")
+    dealt = read.mapInArrow(_find_windows, "h1 long, h2 long, kind byte, node long, pos int")
+    later = dealt.repartition("h1").sortWithinPartitions("h1", "h2", "kind", "node", "pos").mapInArrow(_later, "node long, pos int")
+    return common.stored(_packed(later, "node", lambda p: _as_runs(np.unique(p)), "runs"))
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: doc_id, text (the words that stay, joined by one space), n_words, n_removed.
 
@@ -274,18 +290,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
     firsts = common.stored(src.groupBy("t1", "t2").agg(F.min(place).alias("p")).select("t1", "t2", "p.doc_id", F.col("p.last").alias("last")))
 
-    dealt = src.select("t1", "text").mapInArrow(_find_anchors, "key long, kind byte, text long, pos int")
-    met = dealt.repartition("key").sortWithinPartitions("key", F.desc("kind"), "text", "pos").mapInArrow(_marks, "text long, pos int")
-    marks = common.stored(_packed(met, "text", np.unique, "marks"))
-    common.free_shuffles(marks)
-
+    marks = _repeated_anchors(src)
     marked = firsts.join(marks, firsts["t1"] == marks["text"]).select("t1", "t2", "doc_id", "last", "marks")
     nodes = common.numbered(marked, ["last", "doc_id", "t1", "t2"], name="node")
-    own = (src["t1"] == nodes["t1"]) & (src["t2"] == nodes["t2"]) & src["doc_id"].eqNullSafe(nodes["doc_id"])
-    read = src.join(nodes, own).select("node", "text", "marks")
-    dealt = read.mapInArrow(_find_windows, "h1 long, h2 long, kind byte, node long, pos int")
-    later = dealt.repartition("h1").sortWithinPartitions("h1", "h2", "kind", "node", "pos").mapInArrow(_later, "node long, pos int")
-    runs = common.stored(_packed(later, "node", lambda p: _as_runs(np.unique(p)), "runs"))
+    common.free_shuffles(marks)
+    runs = _repeated_runs(src, nodes)
+    common.discard(marks)
     common.free_shuffles(runs)
 
     placed = nodes.join(runs, "node").select("t1", "t2", "doc_id", "runs")
