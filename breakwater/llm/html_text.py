@@ -5,13 +5,15 @@ where something was left out that is no content by its element, class, id or rol
 headers, footers, sidebars, notices, adverts, forms, scripts, reader comments).  Over these
 lines the lengths of text that isn't link text are summed in sliding windows.  Text begins
 where the sums surge and ends where they dive to nothing, and all lines between are kept,
-short ones too.  Where the page marks its article, an empty line inside the article is
-no dive, and the article is kept from its first line to its last one."""
+short ones too.  What a page marks as its article only bounds the runs so found: if most of their
+text is marked, what is not marked goes; a short marked teaser beside a longer text decides
+nothing.  What was left out inside a marked article is no dive, as an article is not over at an advert."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,6 +26,8 @@ from . import common
 WINDOW = 3
 #: Characters of a window that make a surge, and the part of the page's best window that does.
 SURGE, SURGE_PART = 80, 0.25
+#: Part of the found text that must lie in marked articles for these to bound it.
+MARKED_PART = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text.
@@ -42,6 +46,8 @@ NO_CONTENT_WORDS = frozenset(
     "pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: A name that ends with one of these is that of a text, whatever stands before.
+TEXT_WORDS = frozenset("article story".split())
 #: Words that mean no content except inside an article, where they mean its own heading.
 OUTSIDE_WORDS = frozenset("header topbar".split())
 #: An open p ends where one of these begins.
@@ -79,7 +85,7 @@ def _no_content(name: str, attrs: str, in_article: bool) -> bool:
         if key == "role" and value.strip() in NO_CONTENT_ROLES:
             return True
         if key in ("class", "id"):
-            words = set(_WORDS.findall(value))
+            words = {w for name in value.split() for w in (_WORDS.findall(name) or [""]) if not name.endswith(tuple(TEXT_WORDS))}
             if words & NO_CONTENT_WORDS or not in_article and words & OUTSIDE_WORDS:
                 return True
     return False
@@ -89,6 +95,7 @@ def lines_of(page: str) -> list[Line]:
     """The page as lines; an empty one stands for what was left out."""
     lines: list[Line] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is no content
+    still: Counter[str] = Counter()  # how many of each name are open
     skipped = roots = links = 0
     parts: list[str] = []
     link_chars = 0
@@ -105,6 +112,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal skipped, roots, links
         while len(stack) > to:
             name, skip = stack.pop()
+            still[name] -= 1
             skipped -= skip
             roots -= name in ROOTS
             links -= name == "a"
@@ -129,7 +137,7 @@ def lines_of(page: str) -> list[Line]:
             continue
         name = name.lower()
         if found["close"] or found["close2"]:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if still[name] else None
             if name in BLOCK:
                 flush()
             if open_at is not None:
@@ -154,14 +162,14 @@ def lines_of(page: str) -> list[Line]:
             flush()
         elif name in ("td", "th"):
             add(" ")
-        if name in ENDS_P:
+        if name in ENDS_P and still["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     pop(i)
                     break
                 if stack[i][0] in SCOPES:
                     break
-        if name in SIBLINGS:
+        if name in SIBLINGS and any(still[x] for x in SIBLINGS[name]):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in SIBLINGS[name]:
                     pop(i)
@@ -182,6 +190,7 @@ def lines_of(page: str) -> list[Line]:
             flush()
             lines.append(Line("", 0, roots > 0))
         stack.append((name, skip))
+        still[name] += 1
         skipped += skip
         roots += name in ROOTS
         links += name == "a"
@@ -211,18 +220,21 @@ def spans(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 def main_text(page: str) -> str:
     """The main text: blocks in page order, joined by an empty line."""
-    lines = lines_of(page)
-    if any(line.root and line.text for line in lines):
-        # the page marks its article: what stands outside is left out, gaps inside are no dive
-        lines = [line for line in lines if line.root and line.text]
-        lengths = [max(1, len(line.text) - line.links) for line in lines]
-        texts = [line.text for line in lines]
-    else:
-        lengths, texts = [], []
-        for line in lines:
-            lengths += [max(0, len(line.text) - line.links)] if line.text else [0] * WINDOW
-            texts += [line.text] if line.text else [""] * WINDOW
-    return "\n\n".join(t for start, end in spans(lengths) for t in texts[start:end] if t)
+    lines: list[Line] = []
+    lengths: list[int] = []
+    for line in lines_of(page):
+        if line.text:
+            lines.append(line)
+            # a line of links alone has no text, except in an article
+            lengths.append(max(int(line.root), len(line.text) - line.links))
+        elif not line.root:
+            lines += [line] * WINDOW
+            lengths += [0] * WINDOW
+    found = [line for start, end in spans(lengths) for line in lines[start:end] if line.text]
+    marked = [line for line in found if line.root]
+    if sum(len(line.text) for line in marked) >= MARKED_PART * sum(len(line.text) for line in found):
+        found = marked
+    return "\n\n".join(line.text for line in found)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

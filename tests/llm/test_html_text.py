@@ -36,6 +36,32 @@ def test_broken_markup():
     assert main_text("<p>" * 3000 + "deep") == "deep"
 
 
+def test_a_marked_teaser_does_not_displace_the_text():
+    html = page(f"<div><p>{PARA}</p><p>{PARA * 3}</p></div><article class='card'>Short teaser.</article>")
+    assert main_text(html).startswith(f"{PARA.strip()}\n\n{(PARA * 3).strip()}")
+
+
+def test_the_distribution_decides_inside_articles_too():
+    """Without surges and dives, text far from the rest would be kept."""
+    gap = "<form>x</form>" * 3
+    html = page(f"<p>{PARA}</p><p>{PARA}</p>{gap}<p>so</p>")
+    assert main_text(html) == f"{PARA.strip()}\n\n{PARA.strip()}"
+    assert main_text(html.replace("<body>", "<body><article>").replace("</body>", "</article></body>")).endswith("so")
+
+
+def test_a_story_by_its_name():
+    inside = f"<article><div id='subscribe-story'><p>{PARA}</p></div><div class='subscribe-box'><p>{PARA}</p></div></article>"
+    assert main_text(page(inside)) == PARA.strip()
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert main_text("<div>" * 40_000 + "</b>" * 40_000 + PARA) == PARA.strip()
+    assert time.perf_counter() - start < 3
+
+
 def test_two_articles_and_a_short_one():
     assert main_text(page(f"<article><p>{PARA}</p></article><hr><article><p>x</p></article>")) == f"{PARA.strip()}\n\nx"
     assert main_text(page("<p>Tiny page.</p>")) == "Tiny page."
