@@ -236,9 +236,25 @@ def _with_starts(manifest: DataFrame) -> DataFrame:
     return common.small_table(manifest.sparkSession, rows, **kinds).repartition(max(1, len(rows)), "shard")
 
 
+def _found(shard: Shard, step: int = 5000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of a shard and the record of each, as the index finds it.  Records without a key
+    are at the front, and those that repeat a key follow the one found for it."""
+    nulls = int(shard.records["null"].sum())
+    if nulls:
+        yield np.zeros(nulls, np.int64), np.arange(nulls)
+    keys, copies = np.unique(shard.records["key"][nulls:], return_counts=True)
+    for at in range(0, len(keys), step):
+        many = copies[at : at + step]
+        first = shard.find(keys[at : at + step])
+        if (first < 0).any():
+            raise ValueError("the index misses keys of its shard")
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        yield np.repeat(keys[at : at + step], many), np.repeat(first, many) + nth
+
+
 def read_back(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every document of the files, found by its key through the index: doc_id, start (ids
-    of all documents before it), n_tokens, ids_crc32."""
+    """Every document of the files, each key looked up in the index and its ids read at the
+    record found there: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
@@ -246,19 +262,12 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for s in b.to_pylist():
                 shard = Shard(folder, s["file"])
-                keys = shard.records["key"]
-                for at in range(0, len(keys), 5000):
-                    part = shard.records[at : at + 5000]
-                    known = part["null"] == 0
-                    first = np.where(known, shard.find(part["key"]), np.arange(at, at + len(part)))
-                    # a repeated key is found at its first record; the others follow it
-                    number = np.arange(at, at + len(part))
-                    if (first < 0).any() or (keys[first] != part["key"]).any() or (first > number).any():
-                        raise ValueError(f"the index of {s['file']} misses keys")
-                    crcs = [zlib.crc32(shard.ids(i)) for i in number.tolist()]
+                for keys, records in _found(shard):
+                    part = shard.records[records]
+                    crcs = [zlib.crc32(shard.ids(i)) for i in records.tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(part["key"], mask=~known),
+                            pa.array(keys, mask=part["null"] == 1),
                             pa.array(part["start"] + s["shard_start"]),
                             pa.array(part["length"]),
                             pa.array(crcs, pa.int64()),

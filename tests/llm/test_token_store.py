@@ -59,3 +59,17 @@ def test_perfect_hash():
         if n:
             bits = sum(8 * len(b) for b in index.levels)
             assert bits <= 5 * n + 64 * len(index.levels)
+
+
+def test_rows_come_through_the_index(documents, spark, monkeypatch):
+    """With an index that leads to the wrong records, the rows are wrong."""
+    at = folder(spark)
+    token_store.write(documents.limit(50).repartition(1), at, PATH)
+    shard = next(s for s in (token_store.Shard(at, f"shard-{k:06d}.tok") for k in range(1)) if len(s.records) > 2)
+    keys, records = next(token_store._found(shard))
+    assert records.tolist() == list(range(len(shard.records))) and keys.tolist() == shard.records["key"].tolist()
+    shard._table = np.roll(shard._table, 1)
+    shard._table["fingerprint"][shard._hash.places(keys)] = token_store.fingerprints(keys)
+    monkeypatch.setattr(shard, "records", shard.records)
+    with pytest.raises(ValueError):
+        list(token_store._found(shard))
