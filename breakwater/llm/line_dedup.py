@@ -3,8 +3,8 @@
 A line is boilerplate of a host if the share of the host's pages that contain it is above
 ``ratio`` (and it is on ``min_pages`` pages at least, so that small hosts, where any line
 has a large share, lose nothing).  Pages of one host with equal text count as one page, as
-copies say nothing about a site's layout.  Near copies are kept whole for the same reason:
-a page loses no line if more than ``most_lost`` of its characters would go.
+copies say nothing about a site's layout.  The ratio decides on every page alike, also where
+little is left of it.
 
 Counts are combined before they are dealt, so a line or host with a third of all rows is
 no hot key.  The lines above the ratio are few: a host can have at most (lines per page) /
@@ -19,7 +19,6 @@ from . import common
 
 RATIO = 0.02
 MIN_PAGES = 4
-MOST_LOST = 0.5
 #: Lines above the ratio that may be broadcast (16 bytes each and their host).
 BROADCAST_LINES = 100_000
 
@@ -39,7 +38,6 @@ def drop_boilerplate(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
-    most_lost: float = MOST_LOST,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """``docs`` with its text freed of boilerplate lines, and n_lines and n_dropped (columns
@@ -72,8 +70,7 @@ def drop_boilerplate(
     each = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
     lost = F.filter("lines", lambda e: e["key"].isNotNull() & F.array_contains(F.coalesce("drop", F.array().cast("array<bigint>")), e["key"]))
     marked = joined.withColumn("lines", each).withColumn("lost", lost)
-    chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, e: acc + F.length(e["line"]))
-    whole = text.isNull() | (F.size("lost") == 0) | (chars("lost") > F.lit(float(most_lost)) * chars("lines"))
+    whole = text.isNull() | (F.size("lost") == 0)
     kept = F.filter("lines", lambda e: e["key"].isNull() | ~F.array_contains("drop", e["key"]))
     rest = F.array_join(F.transform(kept, lambda e: e["line"]), "\n")
     return marked.select(
@@ -99,10 +96,9 @@ marked AS (
   FROM k LEFT JOIN above ON k.host = above.host AND k.bare = above.bare),
 pages AS (
   SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
-    coalesce(sum(length(line)) FILTER (WHERE gone), 0) > {MOST_LOST} * sum(length(line)) AS whole,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest
   FROM marked GROUP BY rid)
-SELECT d.doc_id, CASE WHEN whole OR n_gone = 0 OR d.text IS NULL THEN d.text ELSE rest END AS text,
-  coalesce(n_lines, 0) AS n_lines, CASE WHEN whole OR d.text IS NULL THEN 0 ELSE n_gone END AS n_dropped
+SELECT d.doc_id, CASE WHEN n_gone = 0 OR d.text IS NULL THEN d.text ELSE rest END AS text,
+  coalesce(n_lines, 0) AS n_lines, CASE WHEN d.text IS NULL THEN 0 ELSE n_gone END AS n_dropped
 FROM d LEFT JOIN pages USING (rid)
 """
