@@ -5,6 +5,8 @@ texts and words of any length give the hashes that they would give in one piece.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Bytes looked at together.
@@ -40,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words(codes: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(codes: np.ndarray, member: np.ndarray, finish: Callable[[np.ndarray], np.ndarray] = mix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The maximal runs of bytes of a class: their hashes, and where they begin and end."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     cut = None  # begin and sum of a run that the end of the last piece cut
@@ -66,7 +68,7 @@ def words(codes: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
-    return mix(sums), begin, end
+    return finish(sums), begin, end
 
 
 class Block:

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from ..operators.skew import lookup_join
+from . import common, hashing
 
 SEED = 42
 WORDS = 4
@@ -37,8 +38,11 @@ COPY_WORDS, COPY_LEAST, COPY_BITS = 5, 0.8, 28
 #: Texts meet that have the same least hashes under all functions of a band.  Of pairs at
 #: 0.8, a part of (1 - 0.8 ** 4) ** 16 = 0.0002 meets in no band.
 BANDS, BAND_ROWS = 16, 4
+#: Bytes of sets that meet in one task: cells with more are compared block by block.
+CELL_BYTES = 16_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_FOLD = np.frombuffer(_LOWER, np.uint8)
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
@@ -278,11 +282,13 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def copy_links(keys: list[int], sets: list[np.ndarray], least: float = COPY_LEAST, bits: int = COPY_BITS) -> list[tuple[int, int]]:
+def copy_links(
+    keys: list[int], fps: list[int], sets: list[np.ndarray], least: float = COPY_LEAST, bits: int = COPY_BITS
+) -> list[tuple[int, int]]:
     """Edges that join whatever of ``keys`` can be reached over pairs of sets at a Jaccard
     similarity of ``least`` or more, whose fingerprints differ in ``bits`` or fewer bits."""
     sizes = np.array([len(s) for s in sets])
-    fps = np.array([majority(s) for s in sets], np.uint64)
+    fps = np.array(fps, np.int64).view(np.uint64)
     out: list[tuple[int, int]] = []
     pool, queue = np.arange(len(keys)), []
     while len(pool) and (queue or len(pool) > 1):
@@ -307,6 +313,18 @@ def copy_links(keys: list[int], sets: list[np.ndarray], least: float = COPY_LEAS
     return out
 
 
+def shingle_sets(texts: list[str], words: int = COPY_WORDS) -> list[np.ndarray]:
+    """The sorted different hashes of each text's runs of ``words`` words, A-Z lower-cased; of
+    fewer words one run.  All texts of a block are hashed together."""
+    out: list[np.ndarray] = []
+    for start, end in common.blocks(texts):
+        block = hashing.Block([t.encode("utf-8", "surrogatepass") for t in texts[start:end]], hashing.NOT_SPACE, _FOLD)
+        runs = hashing.rolled(block.hashes, words)
+        for a, b in zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True):
+            out.append(np.unique(runs[a : b - words + 1] if b - a >= words else hashing.rolled(block.hashes[a:b], b - a) if b > a else runs[:0]))
+    return out
+
+
 def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -314,6 +332,7 @@ def near_copies(
     words: int = COPY_WORDS,
     least: float = COPY_LEAST,
     bits: int = COPY_BITS,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """A row per row of ``docs``: doc_id, component_id, the least doc_id reachable over pairs
     of texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
@@ -321,57 +340,76 @@ def near_copies(
     At that similarity too many bits may differ for cells of equal counts, so texts meet by
     bands of least shingle hashes; in a cell the fingerprints' radius comes first, then the
     similarity is counted exactly.  Texts of equal sets are one node; cells of the same nodes
-    are looked at once; only texts that meet others are read again for their sets.  The sets
-    of a cell lie in one task.  Null and wordless texts are copies of each other; a null id is
-    never a least id."""
+    are looked at once; only one text of each node that meets others is read again for its set.
+    A cell whose sets have more than ``cell_bytes`` is cut into blocks by a hash, and every two of
+    its blocks meet in a task of their own.  Null and wordless texts are copies of each other; a
+    null id is never a least id; repeated rows and ids are all returned; other columns are
+    ignored; an empty table gives no rows."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    src = common.renamed(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text, tid=F.xxhash64(text))
+    doc = F.col(f"`{id_col}`").cast("long")
+    src = common.renamed(docs, doc_id=doc, none=doc.isNull(), id0=F.coalesce(doc, F.lit(0).cast("long")), text=text, tid=F.xxhash64(text))
 
     def mark(b):
         import xxhash
 
-        keys, cells = [], []
-        for t in b.column("text"):
-            own = np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64))
-            keys.append(signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
-            cells.append(bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
-        columns = [b.column("doc_id"), b.column("tid"), pa.array(keys, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "key", "cells"])
+        sets = shingle_sets(b.column("text").to_pylist(), words)
+        keys = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
+        fps = [signed(majority(s)) for s in sets]
+        cells = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+        columns = [b.column("doc_id"), b.column("tid"), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "key", "fp", "size", "cells"])
 
     def read(b):
-        sets = [np.unique(np.array(shingle_hashes(t.as_py(), words), "<u8")).tobytes() for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], ["key", "set"])
+        for start, end in common.blocks(b.column("text").to_pylist()):
+            part = b.slice(start, end - start)
+            sets = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("fp"), pa.array(sets, pa.binary())], ["key", "fp", "set"])
 
     def compared(batches):
-        open_cell, keys, sets = None, [], []
+        open_cell, keys, fps, sets = None, [], [], []
 
-        def result(keys, sets):
-            pairs = copy_links(keys, sets, least, bits)
+        def result(keys, fps, sets):
+            pairs = copy_links(keys, fps, sets, least, bits)
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for cell, key, own in zip(batch.column("cell").to_pylist(), batch.column("key").to_pylist(), batch.column("set"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("cell", "i", "j", "key", "fp")]
+            for *cell, key, fp, own in zip(*columns, batch.column("set"), strict=True):
                 if cell != open_cell:
-                    yield from result(keys, sets)
-                    open_cell, keys, sets = cell, [], []
+                    yield from result(keys, fps, sets)
+                    open_cell, keys, fps, sets = cell, [], [], []
                 keys.append(key)
+                fps.append(fp)
                 # a copy, so that the batch is not kept
                 sets.append(np.frombuffer(own.as_buffer(), np.uint64).copy())
-        yield from result(keys, sets)
+        yield from result(keys, fps, sets)
 
-    marked = common.stored(common.map_batches(src, mark, "doc_id long, tid long, key long, cells array<long>"))
-    nodes = common.stored(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("tid").alias("tid"), F.first("cells").alias("cells")))
-    dealt = nodes.select("key", F.explode("cells").alias("cell"))
+    marked = common.stored(common.map_batches(src.select("doc_id", "tid", "text"), mark, "doc_id long, tid long, key long, fp long, size long, cells array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("first")
+    nodes = common.stored(marked.groupBy("key").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("cells").alias("cells")))
+    dealt = nodes.select("key", "size", F.explode("cells").alias("cell"))
     alike = [F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("all")]
     met = dealt.groupBy("cell").agg(*alike).filter("n > 1").groupBy("n", "low", "high", "all").agg(F.min("cell").alias("cell"))
     members = common.stored(dealt.join(met.select("cell"), "cell", "left_semi"))
-    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select("tid", "key")
-    texts = src.select("tid", "text").join(wanted, "tid").dropDuplicates(["key"]).select("key", "text")
-    sets = common.stored(common.map_batches(texts, read, "key long, set binary"))
-    edges = members.join(sets, "key").select("cell", "key", "set").repartition("cell").sortWithinPartitions("cell")
+    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select(
+        "key", "fp", "first.none", "first.tid", F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("id0")
+    )
+    # equal rows become one before their shuffle; copies under other ids do not meet here
+    own = ["tid", "none", "id0"]
+    texts = src.groupBy(*own).agg(F.first("text").alias("text")).join(wanted, own).select("key", "fp", "text")
+    sets = common.stored(common.map_batches(texts, read, "key long, fp long, set binary"))
+    # there are at most (bytes of members / cell_bytes) crowded cells
+    crowded = members.groupBy("cell").agg(F.ceil(F.sum(8 * F.col("size")) / cell_bytes).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = lookup_join(members.select("cell", "key"), crowded, ["cell"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
+    placed = placed.withColumn("other", F.explode(others))
+    tiles = placed.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key")
+    by = ["cell", "i", "j"]
+    edges = tiles.join(sets, "key").select(*by, "key", "fp", "set").repartition(*by).sortWithinPartitions(*by)
     reached = components(edges.mapInArrow(compared, "a long, b long"))
-    rooted = nodes.join(reached, nodes["key"] == reached["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    rooted = nodes.join(reached, nodes["key"] == reached["node"], "left").select("key", F.col("first.doc_id").alias("least"), F.coalesce("root", "key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "key").join(rooted.join(lowest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")

@@ -17,8 +17,11 @@ import pyarrow as pa
 
 from .common import blocks
 
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+#: What a worker may remember of words and their ids, in bytes; a word takes its length, its ids
+#: and about so much besides.
+CACHE_BYTES, WORD_BYTES = 32_000_000, 200
+#: Characters of texts that are encoded together, about.
+BLOCK_CHARS = 1_000_000
 #: Different words that go through the library in one call.
 JOINED = 512
 
@@ -43,6 +46,7 @@ class Encoder:
         self.between, self.between_id = special[-1] if special else (None, None)
         self.special = sorted({text[:2] for text, _ in special})
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -83,8 +87,14 @@ class Encoder:
         fresh = self._new([different[i] for i in missing])
         for i in missing:
             each[i] = fresh[different[i]]
-        if len(known) + len(fresh) <= CACHE_WORDS:
+        more = sum(map(len, fresh)) + sum(map(len, fresh.values())) + WORD_BYTES * len(fresh)
+        if self.known_bytes + more > CACHE_BYTES:
+            # the words of the last blocks say most about the next ones
+            known.clear()
+            self.known_bytes = 0
+        if more <= CACHE_BYTES:
             known.update(fresh)
+            self.known_bytes += more
         ids = np.frombuffer(b"".join(each), "<u4")
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         first = np.cumsum(size) - size
@@ -95,7 +105,7 @@ class Encoder:
         return out, np.concatenate(([0], out_end))[word_of]
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for start, end in blocks(texts, 4_000_000):
+        for start, end in blocks(texts, BLOCK_CHARS):
             part = texts[start:end]
             odd = _OTHER_SPACE.search("\n".join(part)) if _may_have_other_space(part) else None
             whole = {

@@ -121,6 +121,8 @@ def test_near_copies_by_brute_force(documents, messy, no_rows):
     docs = [(r.doc_id, r.text) for r in df.collect()]
     want, pairs = alike(docs)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(df.repartition(5)).collect()}
+    # cells cut into blocks give the same
+    assert got == {r.doc_id: r.component_id for r in simhash.near_copies(df, cell_bytes=4000).collect()}
     assert len(pairs) > 100
     # none that is not alike, and all but what meets in no band
     assert all(got[doc] == least or got[doc] == doc for doc, least in want)
