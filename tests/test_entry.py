@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -18,6 +21,18 @@ def test_every_oracle_has_a_query():
     assert set(catalog.QUERIES) == set(catalog.ORACLES) <= set(queries)
 
 
+@pytest.mark.parametrize("also", [[], ["corpus_pipeline.py"]])
+def test_the_rest_stands_alone(tmp_path, also):
+    """Without the training-data folders everything else imports and has its queries."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    gone = ["llm", "__pycache__", ".git", *also]
+    shutil.copytree(root, tmp_path / "repo", ignore=lambda _, names: [n for n in names if n in gone])
+    said = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", said], cwd=tmp_path / "repo", env={"PATH": os.environ["PATH"]}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.split() == sorted(catalog.QUERIES)
+
+
 def test_class_works_on_a_stream(spark, tmp_path):
     """Row-wise operators take a streaming DataFrame as they are."""
     from breakwater.functions.genome import sv_class
