@@ -19,9 +19,9 @@ from .common import blocks
 
 #: What a worker may remember of words and their ids, in bytes; a word takes its length, its ids
 #: and about so much besides.
-CACHE_BYTES, WORD_BYTES = 32_000_000, 200
+CACHE_BYTES, WORD_BYTES = 64_000_000, 200
 #: Characters of texts that are encoded together, about.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 2_000_000
 #: Different words that go through the library in one call.
 JOINED = 512
 
@@ -88,11 +88,8 @@ class Encoder:
         for i in missing:
             each[i] = fresh[different[i]]
         more = sum(map(len, fresh)) + sum(map(len, fresh.values())) + WORD_BYTES * len(fresh)
-        if self.known_bytes + more > CACHE_BYTES:
-            # the words of the last blocks say most about the next ones
-            known.clear()
-            self.known_bytes = 0
-        if more <= CACHE_BYTES:
+        # the first words to come are the frequent ones
+        if self.known_bytes + more <= CACHE_BYTES:
             known.update(fresh)
             self.known_bytes += more
         ids = np.frombuffer(b"".join(each), "<u4")
