@@ -133,11 +133,15 @@ def sv_loci(model_input: DataFrame) -> DataFrame:
     return _loci(model_input, _locus("1"), _locus("2"))
 
 
-def usable(loci: DataFrame) -> DataFrame:
-    """Variants with reads at every locus and a known weight."""
+def _is_usable() -> Column:
     first = (F.col("total1") > 0) & F.col("weight1").isNotNull()
     second = F.col("mult2").isNull() | ((F.col("total2") > 0) & F.col("weight2").isNotNull())
-    return loci.filter(first & second)
+    return F.coalesce(first & second, F.lit(False))
+
+
+def usable(loci: DataFrame) -> DataFrame:
+    """Variants with reads at every locus and a known weight."""
+    return loci.filter(_is_usable())
 
 
 def _share_term(var: Column, total: Column, share: Column) -> Column:
@@ -174,14 +178,16 @@ def assign(loci: DataFrame, clusters: DataFrame) -> DataFrame:
     """Probability of each cluster for each variant, and the most likely one.
 
     ``clusters``: (sample, cluster, ccf, weight).  Adds probs (cluster, ccf, prob in the
-    order of cluster), label and label_ccf, all NULL for a sample without a model."""
-    ready = usable(loci).withColumns(
+    order of cluster), label and label_ccf, all NULL for a sample without a model and for a
+    variant without reads at a locus or of unknown weight."""
+    ready = loci.withColumns(
         {
             "_reach1": F.col("weight1") * F.col("mult1"),
             "_reach2": F.coalesce(F.col("weight2") * F.col("mult2"), F.lit(0.5)),
         }
     )
     joined = lookup_join(ready, _model_rows(clusters), ["sample"])
+    joined = joined.withColumn("model", F.when(_is_usable(), F.col("model")))
     scores = F.transform(
         "model",
         lambda m: F.log(F.greatest(m["weight"], F.lit(1e-300)))
@@ -256,8 +262,8 @@ def subclonal_structure(
 
 
 def multiplicity(assigned: DataFrame) -> DataFrame:
-    """Copies each variant most likely sits on, given its cluster, and total copies; one
-    pair of columns per locus."""
+    """Copies each variant most likely sits on, given its cluster (NULL without one), and
+    total copies; one pair of columns per locus."""
 
     def best(e: int) -> Column:
         var, total = F.col(f"var{e}"), F.col(f"total{e}")
@@ -268,7 +274,7 @@ def multiplicity(assigned: DataFrame) -> DataFrame:
                 F.round(_share_term(var, total, unit * m), 9).alias("score"), (-m).alias("neg")
             ),
         )
-        return -F.array_max(tried)["neg"]
+        return F.when(F.col("label_ccf").isNotNull(), -F.array_max(tried)["neg"])
 
     return assigned.select(
         "sample",

@@ -60,3 +60,10 @@ DEFAULT_PLOIDY = 2.0
 DEFAULT_READ_LEN = 100
 DEFAULT_INSERT_MEAN = 300.0
 DEFAULT_INSERT_STD = 20.0
+PARAM_DEFAULTS = {
+    "purity": DEFAULT_PURITY,
+    "ploidy": DEFAULT_PLOIDY,
+    "read_len": DEFAULT_READ_LEN,
+    "insert_mean": DEFAULT_INSERT_MEAN,
+    "insert_std": DEFAULT_INSERT_STD,
+}

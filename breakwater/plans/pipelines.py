@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import genotype
 from ..operators import annotate, clustering, copynumber, counting, filters, matching, mixed
 from ..operators.skew import lookup_join
-from ..params import DEFAULTS, Params
+from ..params import DEFAULTS, PARAM_DEFAULTS, Params
 from ..session import cut_lineage
 
 
@@ -50,6 +50,14 @@ def count_svs(
     return counting.sv_counts(filters.filter_sv_tags(svs), reads, limits, p, **options)
 
 
+def with_params(variants: DataFrame, params: DataFrame) -> DataFrame:
+    """Variants with the parameters of their sample; where the sample or a value is absent,
+    the documented default."""
+    joined = lookup_join(variants, params, ["sample"])
+    filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in PARAM_DEFAULTS.items() if c in params.columns}
+    return joined.withColumns(filled)
+
+
 def filter_svs(
     svs: DataFrame,
     params: DataFrame,
@@ -63,7 +71,7 @@ def filter_svs(
     """Counted SVs that pass all filters, with states and adjusted counts.  Cheap row
     filters come before the joins; without ``adjacent`` only the matched states are
     looked up."""
-    kept = filters.filter_sv_basic(lookup_join(svs, params, ["sample"]), p)
+    kept = filters.filter_sv_basic(with_params(svs, params), p)
     if blacklist is not None:
         kept = filters.drop_blacklisted_svs(kept, blacklist, **options)
     if germline is not None:
@@ -95,7 +103,7 @@ def filter_snvs(
     kept = filters.filter_snv_basic(snvs, p)
     if blacklist is not None:
         kept = filters.drop_blacklisted_snvs(kept, blacklist, **options)
-    kept = lookup_join(kept, params.select("sample", "purity", "ploidy"), ["sample"])
+    kept = with_params(kept, params.select("sample", "purity", "ploidy"))
     if segments is None:
         kept = kept.withColumn("states", genotype.default_states(F.col("ploidy")))
         return filters.filter_snv_outliers(kept) if p.filter_outliers else kept

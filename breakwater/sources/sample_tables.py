@@ -16,16 +16,9 @@ def sample_params(samples: DataFrame, purity: DataFrame | None, reads: DataFrame
     for table in (purity, reads):
         if table is not None:
             out = lookup_join(out, table, ["sample"])
-    fallback = {
-        "purity": defaults.DEFAULT_PURITY,
-        "ploidy": defaults.DEFAULT_PLOIDY,
-        "read_len": defaults.DEFAULT_READ_LEN,
-        "insert_mean": defaults.DEFAULT_INSERT_MEAN,
-        "insert_std": defaults.DEFAULT_INSERT_STD,
-    }
     filled = {
         c: F.coalesce(F.col(c), F.lit(v)) if c in out.columns else F.lit(v)
-        for c, v in fallback.items()
+        for c, v in defaults.PARAM_DEFAULTS.items()
     }
     out = out.withColumns(filled)
     valid = F.when(F.col("purity").between(0, 1), F.col("purity")).otherwise(
@@ -33,4 +26,4 @@ def sample_params(samples: DataFrame, purity: DataFrame | None, reads: DataFrame
             F.concat(F.lit("purity is not between 0 and 1 for sample "), F.col("sample"))
         ).cast("double")
     )
-    return out.withColumn("purity", valid).select("sample", *fallback)
+    return out.withColumn("purity", valid).select("sample", *defaults.PARAM_DEFAULTS)

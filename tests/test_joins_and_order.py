@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from breakwater.operators import counting
 from breakwater.operators.ordered import OrderedRows, exact_quantiles, first_rows
 from breakwater.operators.ranges import first_overlap, grid_join, overlap_join
 from breakwater.operators.skew import lookup_join
@@ -148,3 +149,35 @@ def test_exact_quantiles_like_numpy(spark):
         assert out["a"].q1 == pytest.approx(np.percentile(values, 25))
         assert out["a"].q3 == pytest.approx(np.percentile(values, 75))
         assert out["b"].q1 == out["b"].q3 == 3.0
+
+
+@pytest.mark.parametrize("options", [BROADCAST, SALTED])
+@pytest.mark.parametrize("bin_width", [64, 4096])
+def test_window_depth_equals_pairs(spark, options, bin_width):
+    """The sweep counts what a join of reads and windows would, with a third of each in one place."""
+    reads, windows = spans(400, 8, 150), spans(90, 9, 700)
+    rdf = spark.createDataFrame(reads, "sample string, i long, ref_start long, ref_end long").withColumn("chrom", F.lit("1"))
+    rdf = rdf.unionByName(spark.createDataFrame([("S0", -1, 9, 9), ("S0", -2, 30, 20), (None, -3, 1, 9000)], "sample string, i long, ref_start long, ref_end long").withColumn("chrom", F.lit("1")))
+    wdf = spark.createDataFrame(windows, "sample string, sv_id long, win_from long, win_to long").withColumns({"chrom": F.lit("1"), "bp": F.lit(1)})
+    wdf = wdf.unionByName(wdf.limit(20).withColumn("bp", F.lit(2))).unionByName(wdf.limit(5).withColumn("chrom", F.lit("X")).withColumn("bp", F.lit(3)))
+    expected = {}
+    for s, i, a, b in windows:
+        n = sum(r[0] == s and r[2] < b and a < r[3] for r in reads)
+        if n:
+            expected[i] = n
+    out = counting.window_depth(wdf, rdf, bin_width=bin_width, **options)
+    got = {r.sv_id: r.depth for r in out.filter("bp = 1").collect()}
+    assert got == expected
+    assert out.filter("bp = 2").count() == len([r for r in wdf.filter("bp = 2").collect() if r.sv_id in expected])
+    assert out.filter("bp = 3").count() == 0 and dict(out.dtypes)["depth"] == "bigint"
+
+
+def test_window_depth_makes_no_pairs(spark):
+    """A thousand reads over a thousand windows of one place: counts of places, not a million pairs."""
+    reads = spark.createDataFrame([("S", "1", i % 10, 500) for i in range(1000)], "sample string, chrom string, ref_start long, ref_end long")
+    windows = spark.createDataFrame([("S", i, 1, "1", 99, 200) for i in range(1000)], "sample string, sv_id long, bp int, chrom string, win_from long, win_to long")
+    out = counting.window_depth(windows, reads)
+    assert out.count() == 1000 and out.select("depth").distinct().collect()[0].depth == 1000
+    # reads are in the stored counts, no further
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "ref_start" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from breakwater.functions import genotype
 from breakwater.operators import annotate, clustering, copynumber, counting, filters, mixed
 from breakwater.params import DEFAULTS
+from breakwater.plans import pipelines
 
 READ = (
     "sample string, query_name string, chrom string, ref_start long, ref_end long, align_start long, "
@@ -226,3 +227,34 @@ def test_fit_recovers_planted_fractions(spark):
     assert found == pytest.approx([0.3, 1.0], abs=0.05)
     alone = clustering.single_variant_model(loci.limit(1)).collect()
     assert len(alone) == 1 and alone[0].weight == 1.0
+
+
+def _counted(spark, samples):
+    rows = [(s, i, "1", 1000, "1", 1000 + size, 5, 5, 5, 30, 30, 15, "DEL", "+", "-") for s in samples for i, size in enumerate((100, 5000))]
+    names = "sample sv_id chr1 pos1 chr2 pos2 split1 split2 spanning norm1 norm2 support classification dir1 dir2".split()
+    return spark.createDataFrame(rows, names)
+
+
+def test_a_sample_without_parameters_keeps_its_svs(spark):
+    params = spark.createDataFrame([("S1", 0.8, 3.0, 100, 300.0, 20.0)], "sample string, purity double, ploidy double, read_len long, insert_mean double, insert_std double")
+    kept = pipelines.filter_svs(_counted(spark, ["S1", "S2"]), params).collect()
+    # the short SV of each sample is below the size limit of the default parameters, the long one stays
+    assert sorted((r.sample, r.sv_id, r.purity, r.ploidy) for r in kept) == [("S1", 1, 0.8, 3.0), ("S2", 1, 1.0, 2.0)]
+
+
+def test_variants_without_reads_stay_in_result_tables(spark):
+    names = "sample string, variant_id long, var1 double, total1 double, weight1 double, mult1 double, top1 int, copies1 double, var2 double, total2 double, weight2 double, mult2 double, top2 int, copies2 double"
+    none = (None,) * 6
+    loci = spark.createDataFrame(
+        [("S", 1, 10.0, 40.0, 0.5, 1.0, 1, 2.0, *none), ("S", 2, 0.0, 0.0, 0.5, 1.0, 1, 2.0, *none), ("S", 3, 5.0, 20.0, None, 1.0, 1, 2.0, *none)], names
+    )
+    model = spark.createDataFrame([("S", 1, 0.5, 0.6), ("S", 2, 1.0, 0.4)], "sample string, cluster int, ccf double, weight double")
+    purity = spark.createDataFrame([("S", 0.9)], "sample string, purity double")
+    assigned = clustering.assign(loci, model)
+    rows = {r.variant_id: r for r in assigned.collect()}
+    assert set(rows) == {1, 2, 3} and rows[1].label == 1 and rows[2].label is None and rows[3].probs is None
+    assert clustering.assignment_probability(assigned).count() == 3
+    copies = {r.variant_id: r.multiplicity1 for r in clustering.multiplicity(assigned).collect()}
+    assert copies == {1: 1, 2: None, 3: None}
+    assert {r.variant_id for r in clustering.cluster_certainty(assigned, purity).collect()} == {1, 2, 3}
+    assert [r.n_ssms for r in clustering.subclonal_structure(assigned, model, purity).collect()] == [1]
