@@ -151,44 +151,55 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], buckets: int = 4096
+    df: DataFrame,
+    keys: Sequence[str],
+    value: Column,
+    probs: Mapping[str, float],
+    cuts: int = 64,
+    task_rows: int = 100_000,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group.
 
-    Equal values are counted first.  Counts of even-width buckets then show in which
-    bucket each wanted rank lies, and only values of those buckets are ranked."""
+    Equal values are counted first.  While a group has more different values than one task
+    should sort, a mergeable sketch cuts them to ranges with about equally many, whatever their
+    spread; exact counts tell in which ranges the wanted ranks lie, and only these go on.  The
+    sketch decides where to cut and nothing else, so the result is exact."""
     keys = list(keys)
     counts = df.groupBy(*keys, value.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    counts = cut_lineage(counts.filter(F.col("_v").isNotNull()))
-    spans = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all")
-    )
-    step = (F.col("_hi") - F.col("_lo")) / buckets
-    bucket = F.when(step > 0, F.floor((F.col("_v") - F.col("_lo")) / step)).otherwise(0)
-    placed = lookup_join(counts, spans, keys).withColumn(
-        "_bucket", F.least(bucket, F.lit(buckets - 1)).cast("int")
-    )
-    order = Window.partitionBy(*keys).orderBy("_bucket")
-    sizes = (
-        placed.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_size"), F.first("_all").alias("_all"))
-        .withColumn("_upto", F.sum("_size").over(order))
-        .withColumn("_before", F.col("_upto") - F.col("_size"))
-    )
-    wanted = []
+    rows = cut_lineage(counts.filter(F.col("_v").isNotNull()))
+    totals = rows.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumns({"_cell": zero, "_before": zero})
+    ranks = []
     for p in probs.values():
         rank = (F.col("_all") - 1) * F.lit(float(p))
-        wanted += [F.floor(rank), F.ceil(rank)]
-    inside = None
-    for rank in wanted:
-        hit = (rank >= F.col("_before")) & (rank < F.col("_upto"))
-        inside = hit if inside is None else inside | hit
-    needed = sizes.filter(inside).select(*keys, "_bucket", "_before")
-    within = Window.partitionBy(*keys, "_bucket").orderBy("_v")
+        ranks += [F.floor(rank), F.ceil(rank)]
+
+    def holds_a_rank(start: Column, end: Column) -> Column:
+        inside = F.lit(False)
+        for rank in ranks:
+            inside |= (rank >= start) & (rank < end)
+        return inside
+
+    cell = [*keys, "_cell"]
+    shares = [k / cuts for k in range(1, cuts)]
+    while (rows.groupBy(*cell).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0] or 0) > task_rows:
+        marks = rows.groupBy(*cell).agg(F.percentile_approx("_v", shares, 100 * cuts).alias("_marks"))
+        nth = F.size(F.filter("_marks", lambda m: m < F.col("_v")))
+        ranged = lookup_join(rows, marks, cell).withColumn("_nth", nth).drop("_marks")
+        # a cell has as many ranges as cuts at most
+        along = Window.partitionBy(*cell).orderBy("_nth")
+        sizes = ranged.groupBy(*cell, "_nth").agg(F.sum("_n").alias("_size"), F.first("_before").alias("_before"))
+        sizes = sizes.withColumn("_upto", F.col("_before") + F.sum("_size").over(along)).withColumn("_from", F.col("_upto") - F.col("_size"))
+        needed = sizes.join(totals, keys).filter(holds_a_rank(F.col("_from"), F.col("_upto"))).select(*cell, "_nth", "_from")
+        kept = lookup_join(ranged.drop("_before"), needed, [*cell, "_nth"], "inner")
+        deeper = (F.col("_cell") * cuts + F.col("_nth")).alias("_cell")
+        rows = cut_lineage(kept.select(*keys, "_v", "_n", deeper, F.col("_from").alias("_before")))
+    within = Window.partitionBy(*cell).orderBy("_v")
     ranked = (
-        placed.join(needed, [*keys, "_bucket"])
-        .withColumn("_to", F.col("_before") + F.sum("_n").over(within))
+        rows.withColumn("_to", F.col("_before") + F.sum("_n").over(within))
         .withColumn("_from", F.col("_to") - F.col("_n"))
+        .join(totals, keys)
     )
 
     def at(rank: Column) -> Column:
@@ -200,4 +211,4 @@ def exact_quantiles(
         weight = F.max(rank - F.floor(rank))
         low, high = at(F.floor(rank)), at(F.ceil(rank))
         out.append((low + (high - low) * weight).alias(name))
-    return ranked.groupBy(*keys).agg(*out)
+    return ranked.filter(holds_a_rank(F.col("_from"), F.col("_to"))).groupBy(*keys).agg(*out)

@@ -138,17 +138,21 @@ def test_first_rows_in_rounds(spark):
         assert sorted(x.v for x in out.filter(F.col("k") == k).collect()) == want
 
 
-def test_exact_quantiles_like_numpy(spark):
+@pytest.mark.parametrize("narrowing", [{}, {"cuts": 4, "task_rows": 12}])
+def test_exact_quantiles_like_numpy(spark, narrowing):
+    """Also with one value far from all others, which leaves even-width ranges all but empty."""
     rng = random.Random(7)
     values = [rng.choice([rng.random() * 90, float(rng.randrange(20))]) for _ in range(257)] + [50.0] * 100
-    df = spark.createDataFrame([("a", v) for v in values] + [("b", 3.0)], "k string, v double")
-    for buckets in (3, 4096):
-        out = {
-            r.k: r for r in exact_quantiles(df, ["k"], F.col("v"), {"q1": 0.25, "q3": 0.75}, buckets).collect()
-        }
-        assert out["a"].q1 == pytest.approx(np.percentile(values, 25))
-        assert out["a"].q3 == pytest.approx(np.percentile(values, 75))
-        assert out["b"].q1 == out["b"].q3 == 3.0
+    far = [*values, 1e12]
+    rows = [("a", v) for v in values] + [("b", 3.0), ("d", None)] + [("c", v) for v in far]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "top": 1.0}
+    out = {r.k: r for r in exact_quantiles(df, ["k"], F.col("v"), probs, **narrowing).collect()}
+    for k, known in (("a", values), ("c", far)):
+        for name, p in probs.items():
+            assert out[k][name] == pytest.approx(np.percentile(known, 100 * p), rel=1e-12)
+    assert out["b"].q1 == out["b"].q3 == 3.0 and set(out) == {"a", "b", "c"}
+    assert exact_quantiles(df.limit(0), ["k"], F.col("v"), probs).collect() == []
 
 
 @pytest.mark.parametrize("options", [BROADCAST, SALTED])
