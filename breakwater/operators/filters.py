@@ -131,12 +131,13 @@ def drop_blacklisted_svs(svs: DataFrame, intervals: DataFrame, **options) -> Dat
 # ---------------------------------------------------------------- outliers
 
 
-def inside_fences(
-    df: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = ("sample",)
-) -> DataFrame:
-    """Rows whose values all lie strictly inside the quartile fences of their sample;
-    the quartile distance counts as one at least."""
-    # The rows are needed for the quartiles and again for the filter.
+INSIDE = "_inside"
+
+
+def fenced(df: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = ("sample",)) -> DataFrame:
+    """Rows with ``_inside``: whether their values all lie strictly inside the quartile fences
+    of their sample; the quartile distance counts as one at least, and NULLs count nowhere."""
+    # The rows are needed for the quartiles and again for the fences.
     kept = cut_lineage(df.withColumns({f"_v_{n}": c.cast("double") for n, c in values.items()}))
     each = F.explode(
         F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_v_{n}").alias("v")) for n in values])
@@ -149,11 +150,18 @@ def inside_fences(
         *[F.max(F.when(F.col("name") == n, low)).alias(f"_lo_{n}") for n in values],
         *[F.max(F.when(F.col("name") == n, high)).alias(f"_hi_{n}") for n in values],
     )
-    kept = lookup_join(kept, fences, keys)
+    inside = F.lit(True)
     for name in values:
         value = F.col(f"_v_{name}")
-        kept = kept.filter((value > F.col(f"_lo_{name}")) & (value < F.col(f"_hi_{name}")))
-    return kept.select(*df.columns)
+        inside &= (value > F.col(f"_lo_{name}")) & (value < F.col(f"_hi_{name}"))
+    return lookup_join(kept, fences, keys).select(*df.columns, F.coalesce(inside, F.lit(False)).alias(INSIDE))
+
+
+def inside_fences(
+    df: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = ("sample",)
+) -> DataFrame:
+    """The rows that ``fenced`` finds inside."""
+    return fenced(df, values, keys).filter(INSIDE).drop(INSIDE)
 
 
 def per_copy(value: Column, states: Column) -> Column:
@@ -162,22 +170,27 @@ def per_copy(value: Column, states: Column) -> Column:
     return F.when(ratio == 0, value).otherwise(value / ratio)
 
 
+def sv_depths() -> dict[str, Column]:
+    return {e: per_copy(F.col(f"win_norm{e}"), F.col(f"states{e}")) for e in ("1", "2")}
+
+
+def snv_depths(by_copies: bool = True) -> dict[str, Column]:
+    depth = F.col("ref") + F.col("var")
+    return {"depth": per_copy(depth, F.col("states")) if by_copies else depth}
+
+
 def filter_sv_outliers(svs: DataFrame) -> DataFrame:
-    return inside_fences(
-        svs,
-        {e: per_copy(F.col(f"win_norm{e}"), F.col(f"states{e}")) for e in ("1", "2")},
-    )
+    return inside_fences(svs, sv_depths())
 
 
 def filter_snv_outliers(snvs: DataFrame, by_copies: bool = True) -> DataFrame:
-    depth = F.col("ref") + F.col("var")
-    return inside_fences(snvs, {"depth": per_copy(depth, F.col("states")) if by_copies else depth})
+    return inside_fences(snvs, snv_depths(by_copies))
 
 
 # ---------------------------------------------------------------- copy-number filters
 
 
-def _all_ends(df: DataFrame, test: Callable[[Column], Column]) -> Column:
+def all_ends(df: DataFrame, test: Callable[[Column], Column]) -> Column:
     """The test on every state column the rows have (one for SNVs, two for SVs)."""
     out = F.lit(True)
     for name in ("states", "states1", "states2"):
@@ -187,19 +200,19 @@ def _all_ends(df: DataFrame, test: Callable[[Column], Column]) -> Column:
 
 
 def filter_cn_neutral(df: DataFrame) -> DataFrame:
-    return df.filter(_all_ends(df, genotype.is_neutral))
+    return df.filter(all_ends(df, genotype.is_neutral))
 
 
 def filter_cn_subclonal(df: DataFrame) -> DataFrame:
-    return df.filter(_all_ends(df, genotype.is_clonal))
+    return df.filter(all_ends(df, genotype.is_clonal))
 
 
 def filter_cn_ceiling(df: DataFrame, max_cn: int = DEFAULTS.max_cn) -> DataFrame:
-    return df.filter(_all_ends(df, lambda s: ~genotype.exceeds(s, max_cn)))
+    return df.filter(all_ends(df, lambda s: ~genotype.exceeds(s, max_cn)))
 
 
 def filter_cn_known(df: DataFrame) -> DataFrame:
-    return df.filter(_all_ends(df, lambda s: s.isNotNull()))
+    return df.filter(all_ends(df, lambda s: s.isNotNull()))
 
 
 def blank_invalid_cn(df: DataFrame) -> DataFrame:

@@ -12,8 +12,13 @@ from .skew import lookup_join
 
 
 def drop_germline(svs: DataFrame, germline: DataFrame, p: Params = DEFAULTS, **options) -> DataFrame:
-    """SVs without a germline SV (of enough support) at nearly the same ends.  Both sides
-    are put in canonical order, so that swapped ends match too."""
+    """SVs without a germline SV (of enough support) at nearly the same ends."""
+    return germline_join(svs, germline, "left_anti", p, **options)
+
+
+def germline_join(svs: DataFrame, germline: DataFrame, how: str, p: Params = DEFAULTS, **options) -> DataFrame:
+    """SVs with (left_semi) or without (left_anti) a germline SV at nearly the same ends.  Both
+    sides are put in canonical order, so that swapped ends match too."""
     places = (
         canonical_breakends(germline.filter(F.col("support") > p.germline_min_support))
         .select(
@@ -34,7 +39,7 @@ def drop_germline(svs: DataFrame, germline: DataFrame, p: Params = DEFAULTS, **o
         (F.col("pos1"), F.col("pos2")),
         (F.col("_germ_a"), F.col("_germ_b")),
         p.germline_threshold,
-        how="left_anti",
+        how=how,
         **options,
     )
     return kept.select("_sv.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype
 from ..functions.genome import canonical_breakends, natural_key, normal_copy_number
-from ..operators import annotate, copynumber, filters, matching
+from ..operators import annotate, audit, copynumber, filters, matching
 from ..operators.ordered import OrderedRows
 from ..operators.skew import lookup_join
 from ..params import DEFAULTS
@@ -773,3 +773,113 @@ def class_summary(spark, sf_dir):
             F.round(F.avg("adjusted_mean_vaf"), 6).alias("mean_vaf"),
         )
     )
+
+
+# ---------------------------------------------------------------- audit
+
+AUDITED = replace(
+    SIZED, filter_outliers=True, filter_subclonal_cnvs=True, filter_chroms=True, chroms=("1", "2", "10", "X")
+)
+
+
+@register(
+    "audit_sv_filters",
+    over=("sv_cnt", "cnv", "params", "blacklist", "germline"),
+    steps=(
+        *CN_STEPS,
+        (
+            "r",
+            f"""
+SELECT *, CASE WHEN NOT (chr1 <> chr2 OR ABS(pos1 - pos2) > 500) THEN 'size'
+  WHEN NOT (support + norm1 >= 8 AND support + norm2 >= 8) THEN 'depth' WHEN NOT (spanning >= 1 AND split1 + split2 >= 1) THEN 'support'
+  WHEN chr1 NOT IN ('1', '2', '10', 'X') OR chr2 NOT IN ('1', '2', '10', 'X') THEN 'chrom'
+  WHEN EXISTS (SELECT 1 FROM blacklist k WHERE (k.chrom = m.chr1 AND m.pos1 BETWEEN k.start_pos AND k.end_pos)
+    OR (k.chrom = m.chr2 AND m.pos2 BETWEEN k.start_pos AND k.end_pos)) THEN 'blacklist'
+  WHEN EXISTS (SELECT 1 FROM germline g WHERE g.sample = m.sample AND g.support > 0 AND g.chr1 = m.chr1 AND g.chr2 = m.chr2
+    AND ABS(g.pos1 - m.pos1) < 10 AND ABS(g.pos2 - m.pos2) < 10) THEN 'germline'
+  WHEN gt1 IS NULL OR gt2 IS NULL OR {BAD1} OR {BAD2} THEN 'no_state' WHEN frac1 <> 1 OR frac2 <> 1 THEN 'subclonal' END AS failed
+FROM m
+""",
+        ),
+        (
+            "w",
+            f"""
+SELECT sample, sv_id, maj1, min1, maj2, min2, CASE WHEN r1 = 0 THEN win_norm1 ELSE win_norm1 / r1 END AS w1,
+  CASE WHEN r2 = 0 THEN win_norm2 ELSE win_norm2 / r2 END AS w2
+FROM (SELECT *, {_RATIO.format(m='maj1', n='min1', f='frac1')} AS r1, {_RATIO.format(m='maj2', n='min2', f='frac2')} AS r2 FROM r
+  WHERE failed IS NULL) t
+""",
+        ),
+        (
+            "q",
+            """
+SELECT sample, QUANTILE_CONT(w1, 0.25) AS a1, QUANTILE_CONT(w1, 0.75) AS b1, QUANTILE_CONT(w2, 0.25) AS a2, QUANTILE_CONT(w2, 0.75) AS b2
+FROM w GROUP BY sample
+""",
+        ),
+        (
+            "o",
+            """
+SELECT w.sample, CASE WHEN NOT (w1 > a1 - 1.5 * GREATEST(b1 - a1, 1) AND w1 < b1 + 1.5 * GREATEST(b1 - a1, 1)
+  AND w2 > a2 - 1.5 * GREATEST(b2 - a2, 1) AND w2 < b2 + 1.5 * GREATEST(b2 - a2, 1)) THEN 'outlier'
+  WHEN GREATEST(maj1, min1, maj2, min2) > 10 THEN 'ceiling' ELSE 'kept' END AS rule FROM w JOIN q ON w.sample = q.sample
+""",
+        ),
+    ),
+    sql="""
+SELECT sample, rule, COUNT(*) AS n FROM (SELECT sample, failed AS rule FROM r WHERE failed IS NOT NULL UNION ALL SELECT sample, rule FROM o) u
+GROUP BY sample, rule
+""",
+)
+def audit_sv_filters(spark, sf_dir):
+    svs = pipelines.with_params(sv_cnt(spark, sf_dir), params(spark, sf_dir))
+    labelled = audit.label_svs(
+        svs, segments(spark, sf_dir), views.view(spark, sf_dir, "blacklist"), views.view(spark, sf_dir, "germline"), AUDITED
+    )
+    return audit.counts(labelled)
+
+
+@register(
+    "audit_snv_filters",
+    over=("snv", "cnv", "blacklist"),
+    steps=(
+        SEG,
+        ("b", "SELECT sample, chrom, pos, COUNT(*) AS n, MIN(ref_n) AS ref_n, MIN(var_n) AS var_n FROM snv GROUP BY sample, chrom, pos"),
+        (
+            "h",
+            """
+SELECT b.sample, b.chrom, b.pos, MIN(ordinal) AS ordinal FROM b JOIN seg s
+  ON b.sample = s.sample AND b.chrom = s.chr AND b.pos BETWEEN s.startpos AND s.endpos GROUP BY b.sample, b.chrom, b.pos
+""",
+        ),
+        (
+            "r",
+            """
+SELECT b.*, s.nmaj1, s.nmin1, s.frac1, (ref_n + var_n) / (((nmaj1 + nmin1) * frac1 + CASE WHEN frac1 <> 1 THEN 2 * (1 - frac1) ELSE 0 END) / 2) AS d,
+  CASE WHEN n > 1 THEN 'repeated' WHEN ref_n + var_n < 8 THEN 'depth' WHEN b.chrom NOT IN ('1', '2', '10', 'X') THEN 'chrom'
+    WHEN EXISTS (SELECT 1 FROM blacklist k WHERE k.chrom = b.chrom AND b.pos BETWEEN k.start_pos AND k.end_pos) THEN 'blacklist'
+    WHEN s.gt IS NULL OR (nmaj1 = 0 AND nmin1 = 0 AND frac1 = 1) THEN 'no_state' END AS failed
+FROM b LEFT JOIN h ON b.sample = h.sample AND b.chrom = h.chrom AND b.pos = h.pos
+  LEFT JOIN seg s ON s.sample = b.sample AND s.chr = b.chrom AND s.ordinal = h.ordinal
+""",
+        ),
+        ("q", "SELECT sample, QUANTILE_CONT(d, 0.25) AS a, QUANTILE_CONT(d, 0.75) AS c FROM r WHERE failed IS NULL GROUP BY sample"),
+        (
+            "o",
+            """
+SELECT r.sample, n, CASE WHEN NOT (d > a - 1.5 * GREATEST(c - a, 1) AND d < c + 1.5 * GREATEST(c - a, 1)) THEN 'outlier'
+  WHEN frac1 <> 1 THEN 'subclonal' WHEN GREATEST(nmaj1, nmin1) > 10 THEN 'ceiling' ELSE 'kept' END AS rule
+FROM r JOIN q ON r.sample = q.sample WHERE failed IS NULL
+""",
+        ),
+    ),
+    sql="""
+SELECT sample, rule, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT sample, n, failed AS rule FROM r WHERE failed IS NOT NULL
+  UNION ALL SELECT sample, n, rule FROM o) u GROUP BY sample, rule
+""",
+)
+def audit_snv_filters(spark, sf_dir):
+    labelled = audit.label_snvs(
+        pipelines.with_params(snvs(spark, sf_dir), params(spark, sf_dir)), segments(spark, sf_dir), views.view(spark, sf_dir, "blacklist"), AUDITED
+    )
+    return audit.counts(labelled)

@@ -1,5 +1,6 @@
 """Counting, annotation, filters and clustering on hand-made and random tables."""
 
+import os
 import random
 from dataclasses import replace
 
@@ -7,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from breakwater.functions import genotype
-from breakwater.operators import annotate, clustering, copynumber, counting, filters, mixed
+from breakwater.operators import annotate, audit, clustering, copynumber, counting, filters, mixed
 from breakwater.params import DEFAULTS
-from breakwater.plans import pipelines
+from breakwater.plans import pipelines, queries_filter, views
+
+SF = "/root/testdata/sf0.001"
 
 READ = (
     "sample string, query_name string, chrom string, ref_start long, ref_end long, align_start long, "
@@ -258,3 +261,26 @@ def test_variants_without_reads_stay_in_result_tables(spark):
     assert copies == {1: 1, 2: None, 3: None}
     assert {r.variant_id for r in clustering.cluster_certainty(assigned, purity).collect()} == {1, 2, 3}
     assert [r.n_ssms for r in clustering.subclonal_structure(assigned, model, purity).collect()] == [1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_audit_agrees_with_the_filters_and_is_observed(spark):
+    """What has no verdict is what the filters keep, and writing it gives the counts."""
+    given = [views.view(spark, SF, n) for n in ("sv_cnt", "params", "blacklist", "germline")]
+    svs, params, blacklist, germline = given
+    segments = queries_filter.segments(spark, SF)
+    for rules in (queries_filter.AUDITED, replace(DEFAULTS, strict_cnv=False, min_dep=2), replace(DEFAULTS, neutral=True, filter_outliers=True)):
+        labelled = audit.label_svs(pipelines.with_params(svs, params), segments, blacklist, germline, rules)
+        kept, seen = audit.observed(labelled, audit.SV_RULES)
+        ids = sorted((r.sample, r.sv_id) for r in kept.select("sample", "sv_id").collect())
+        want = pipelines.filter_svs(svs, params, segments, blacklist, germline, rules)
+        assert ids == sorted((r.sample, r.sv_id) for r in want.select("sample", "sv_id").collect()) and (ids or rules.neutral)
+        total = {}
+        for r in audit.counts(labelled).collect():
+            total[r.rule] = total.get(r.rule, 0) + r.n
+        assert {k: v for k, v in seen.get.items() if v} == total and sum(total.values()) == svs.count()
+    snvs = queries_filter.snvs(spark, SF)
+    labelled = audit.label_snvs(pipelines.with_params(snvs, params), segments, blacklist, queries_filter.AUDITED)
+    kept, seen = audit.observed(labelled, audit.SNV_RULES)
+    want = pipelines.filter_snvs(snvs, params, segments, blacklist, queries_filter.AUDITED)
+    assert kept.count() == want.count() == seen.get["kept"] and sum(seen.get.values()) == snvs.count()
