@@ -99,8 +99,22 @@ def free_shuffles(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+#: What this worker keeps from task to task.
+_kept: dict[str, object] = {}
+
+
+def keep(owner: str, make: Callable[[], object]) -> object:
+    """What ``make`` returned when ``owner`` first asked in this worker.  A worker keeps things
+    for one owner at a time: turning to other work frees them."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches):
+        keep(each.__qualname__, lambda: None)
         for batch in batches:
             yield from each(batch)
 

@@ -15,13 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import blocks
+from .common import blocks, keep
 
 #: What a worker may remember of words and their ids, in bytes; a word takes its length, its ids
 #: and about so much besides.
-CACHE_BYTES, WORD_BYTES = 64_000_000, 200
+CACHE_BYTES, WORD_BYTES = 96_000_000, 200
 #: Characters of texts that are encoded together, about.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
 #: Different words that go through the library in one call.
 JOINED = 512
 
@@ -117,12 +117,7 @@ class Encoder:
                 at = stop
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this worker for the vocabulary file at ``path`` (a local file that
     every executor has)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return keep(path, lambda: Encoder(path))
