@@ -20,7 +20,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without a letter go, and those in none of the learned languages."""
+    """Language ID: texts without a letter go (null and empty ones too), and those in none of the
+    learned languages.  Repeated rows, null ids and texts of any length are rows like others; an
+    empty table stays empty."""
     filters = language.fit(language.training_rows(docs))
     found = language.identify(docs.select(*COLUMNS), filters)
     known = (F.col("lang_pred") != language.UNKNOWN) & ((F.col("known") >= LEAST_KNOWN) | (F.length("text") < SOME_CHARS))
@@ -28,14 +30,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: texts lose the lines that are boilerplate of their source."""
+    """Line dedup: texts lose the lines that are boilerplate of their source.  All rows stay; a
+    null text stays null, and null sources are one source."""
     slim = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
     return slim.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group of texts alike to 0.8 in shingles of five words the document of the least id stays, of rows of equal
-    id one.  Rows without an id cannot be named by a group and stay."""
+    """SimHash near-dedup: of each group of texts alike to 0.8 in shingles of five words the
+    document of the least id stays, of rows of equal id one.  Null and wordless texts are one
+    group.  Rows without an id cannot be named by a group and stay."""
     docs = docs.select(*COLUMNS)
     groups = common.stored(simhash.near_copies(docs))
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
@@ -55,7 +59,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of 4096 tokens: a row for each piece."""
+    """Best-fit packing into sequences of 4096 tokens: a row for each piece.  A null text is
+    empty (the end id alone); null ids and repeated rows are packed like others; an empty table
+    gives no rows."""
     import public_tokenizers
 
     return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
