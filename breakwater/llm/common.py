@@ -105,13 +105,27 @@ _kept: dict[str, object] = {}
 
 def keep(owner: str, make: Callable[[], object]) -> object:
     """What ``make`` returned when ``owner`` first asked in this worker.  A worker keeps things
-    for one owner at a time: turning to other work frees them."""
+    for one owner at a time: turning to other work frees them, and hands back to the system
+    what earlier work has left unused."""
     if owner not in _kept:
         _kept.clear()
+        _hand_back()
         _kept[owner] = make()
     return _kept[owner]
 
 
+def _hand_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # the C library keeps freed blocks; only glibc has this call
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches):
         keep(each.__qualname__, lambda: None)

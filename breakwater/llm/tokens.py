@@ -19,9 +19,9 @@ from .common import blocks, keep
 
 #: What a worker may remember of words and their ids, in bytes; a word takes its length, its ids
 #: and about so much besides.
-CACHE_BYTES, WORD_BYTES = 96_000_000, 200
+CACHE_BYTES, WORD_BYTES = 80_000_000, 200
 #: Characters of texts that are encoded together, about.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Different words that go through the library in one call.
 JOINED = 512
 
@@ -55,10 +55,11 @@ class Encoder:
         if not self.between:
             found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
             return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
-        parts = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         out = {}
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([self.between.join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            # one call after the other: what the library makes of a text is far larger than its ids
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
             start = 0
             for word, end in zip(part, ends, strict=True):
