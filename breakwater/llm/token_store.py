@@ -259,6 +259,7 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
     kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
     def one(batches):
+        common.keep("read_back", lambda: None)  # frees the words that writing remembered
         for b in batches:
             for s in b.to_pylist():
                 shard = Shard(folder, s["file"])
