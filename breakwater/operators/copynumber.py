@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..params import DEFAULTS, Params
-from ..session import cut_lineage
+from . import stabbing
 from .ordered import OrderedRows
-from .ranges import first_overlap
-from .skew import lookup_join
-
-SEGMENT_BIN = 262_144
 
 
 def in_file_order(segments: DataFrame) -> DataFrame:
@@ -27,39 +23,35 @@ def in_file_order(segments: DataFrame) -> DataFrame:
     return segments.withColumn("ordinal", F.row_number().over(order).cast("long"))
 
 
-def with_neighbours(segments: DataFrame) -> DataFrame:
+def with_neighbours(segments: DataFrame, few: bool = False) -> DataFrame:
     """Each segment with the states of the segment before and after it in the file on
-    its chromosome; at the edge its own."""
+    its chromosome; at the edge its own.  ``few`` says that all segments were counted and
+    may lie in one task."""
+    own = F.col("states")
+    if few:
+        along = Window.partitionBy("sample", "chr").orderBy("ordinal")
+        return segments.withColumns(
+            {
+                "prev_states": F.coalesce(F.lag("states").over(along), own),
+                "next_states": F.coalesce(F.lead("states").over(along), own),
+            }
+        )
     scan = OrderedRows(segments, ["sample", "chr"], ["ordinal"]).scan(
-        previous={"prev_states": F.col("states")}, following={"next_states": F.col("states")}
+        previous={"prev_states": own}, following={"next_states": own}
     )
-    own = F.col("states")
-    first = F.col("prev_states").isNull()
-    last = F.col("next_states").isNull()
     return scan.rows().withColumns(
-        {
-            "prev_states": F.when(first, own).otherwise(F.col("prev_states")),
-            "next_states": F.when(last, own).otherwise(F.col("next_states")),
-        }
+        {c: F.coalesce(c, own) for c in ("prev_states", "next_states")}
     )
 
 
 def match_snvs(snvs: DataFrame, segments: DataFrame, **options) -> DataFrame:
     """SNVs with the ``states`` of the first segment that holds them."""
-    base = snvs.withColumnRenamed("chrom", "chr")
-    out = first_overlap(
-        base,
-        segments,
-        ["sample", "chr"],
-        F.col("pos"),
-        (F.col("startpos"), F.col("endpos") + 1),
-        F.col("ordinal"),
-        F.col("states"),
-        "states",
-        SEGMENT_BIN,
-        **options,
-    )
-    return out.withColumnRenamed("chr", "chrom")
+    index = stabbing.index_segments(in_file_order(segments), **options)
+    values = index.segments.select("sample", "chr", "ordinal", F.col("states").alias("value"))
+    chrom = F.col("chrom")
+    found = stabbing.look_up(snvs, index, {"_hit": (chrom, F.col("pos"))}, **_rows(options))
+    out = stabbing.attach(found, index, values, chrom, F.col("_hit.hit"), "states", **_rows(options))
+    return out.drop("_hit")
 
 
 def look_up_position(
@@ -75,139 +67,23 @@ def look_up_position(
     return F.when(direction == ".", F.lit(-1)).otherwise(pos + step * sv_offset)
 
 
-def nearest_boundaries(places: DataFrame, segments: DataFrame) -> DataFrame:
-    """Distinct (sample, chr, pos) with ``start_distance`` and ``end_distance``, to the
-    nearest segment start and end either way, ``from_start``, whether the start is the
-    nearer one (a tie goes to the end), and ``closest``, the columns of that segment.
-    Among equally near segments the first in the file counts.  ``ordinal`` is a whole
-    number here (see ``in_file_order``)."""
-    blank = F.lit(None)
-    edges = [
-        segments.select(
-            "sample",
-            "chr",
-            F.col(column).cast("long").alias("at"),
-            F.lit(0).alias("is_place"),
-            F.lit(kind).alias("kind"),
-            F.col("ordinal").cast("long").alias("ordinal"),
-        )
-        for kind, column in (("start", "startpos"), ("end", "endpos"))
-    ]
-    asked = places.select(
-        "sample",
-        "chr",
-        F.col("pos").cast("long").alias("at"),
-        F.lit(1).alias("is_place"),
-        blank.cast("string").alias("kind"),
-        blank.cast("long").alias("ordinal"),
-    )
-    maxima, minima = {}, {}
-    for kind in ("start", "end"):
-        own = F.col("kind") == kind
-        # Among equal positions behind, the largest negated ordinal is the first row.
-        maxima[f"behind_{kind}"] = F.when(own, F.struct("at", (-F.col("ordinal")).alias("neg")))
-        minima[f"ahead_{kind}"] = F.when(own, F.struct("at", "ordinal"))
-    scanned = (
-        OrderedRows(
-            edges[0].unionByName(edges[1]).unionByName(asked),
-            ["sample", "chr"],
-            ["at", "is_place", "kind", "ordinal"],
-        )
-        .scan(maxima=maxima, minima_ahead=minima)
-        .rows()
-        .filter(F.col("is_place") == 1)
-    )
-    found = {}
-    for kind in ("start", "end"):
-        behind, ahead = F.col(f"behind_{kind}"), F.col(f"ahead_{kind}")
-        back = F.when(
-            behind.isNotNull(),
-            F.struct(
-                (F.col("at") - behind["at"]).alias("distance"), (-behind["neg"]).alias("ordinal")
-            ),
-        )
-        front = F.when(
-            ahead.isNotNull(),
-            F.struct((ahead["at"] - F.col("at")).alias("distance"), ahead["ordinal"].alias("ordinal")),
-        )
-        found[kind] = F.least(back, front)
-    from_start = F.col("_start.distance") < F.col("_end.distance")
-    nearest = scanned.select(
-        "sample", "chr", F.col("at").alias("pos"), *[c.alias(f"_{k}") for k, c in found.items()]
-    ).select(
-        "sample",
-        "chr",
-        "pos",
-        F.col("_start.distance").alias("start_distance"),
-        F.col("_end.distance").alias("end_distance"),
-        from_start.alias("from_start"),
-        F.when(from_start, F.col("_start.ordinal")).otherwise(F.col("_end.ordinal")).alias("_nth"),
-    )
-    payload = [c for c in segments.columns if c not in ("sample", "chr", "ordinal", "startpos", "endpos")]
-    detail = segments.select(
-        "sample", "chr", F.col("ordinal").cast("long").alias("_nth"), F.struct(*payload).alias("closest")
-    )
-    return lookup_join(nearest, detail, ["sample", "chr", "_nth"]).drop("_nth")
-
-
 def match_sv_states(
     svs: DataFrame, segments: DataFrame, p: Params = DEFAULTS, value: str = "states", **options
 ) -> DataFrame:
     """Add states1 and states2: those of the first segment at each look-up position."""
-    out = svs
-    for end in (1, 2):
-        looked = out.withColumns(
-            {"chr": F.col(f"chr{end}"), "_look": look_up_position(end, p.sv_offset)}
+    index = stabbing.index_segments(in_file_order(segments), **options)
+    values = index.segments.select("sample", "chr", "ordinal", F.col(value).alias("value"))
+    places = {f"_hit{e}": (F.col(f"chr{e}"), look_up_position(e, p.sv_offset)) for e in (1, 2)}
+    out = stabbing.look_up(svs, index, places, **_rows(options))
+    for e in (1, 2):
+        out = stabbing.attach(
+            out, index, values, F.col(f"chr{e}"), F.col(f"_hit{e}.hit"), f"states{e}", **_rows(options)
         )
-        out = first_overlap(
-            looked,
-            segments,
-            ["sample", "chr"],
-            F.col("_look"),
-            (F.col("startpos"), F.col("endpos") + 1),
-            F.col("ordinal"),
-            F.col(value),
-            f"states{end}",
-            SEGMENT_BIN,
-            **options,
-        ).drop("chr", "_look")
-    return out
-
-
-def _match_end(
-    svs: DataFrame, around: DataFrame, nearest: DataFrame, end: int, p: Params, **options
-) -> DataFrame:
-    looked = svs.withColumns({"chr": F.col(f"chr{end}"), "_look": look_up_position(end, p.sv_offset)})
-    matched = first_overlap(
-        looked,
-        around,
-        ["sample", "chr"],
-        F.col("_look"),
-        (F.col("startpos"), F.col("endpos") + 1),
-        F.col("ordinal"),
-        F.struct("states", "prev_states", "next_states"),
-        "_hit",
-        SEGMENT_BIN,
-        **options,
-    )
-    both = lookup_join(
-        matched, nearest.withColumnRenamed("pos", f"pos{end}"), ["sample", "chr", f"pos{end}"]
-    )
-    hit, closest = F.col("_hit"), F.col("closest")
-    to_start, to_end = F.col("start_distance"), F.col("end_distance")
-    outer = F.when(F.col("from_start"), closest["prev_states"]).otherwise(closest["next_states"])
-    inner = F.when(to_start > to_end, hit["next_states"]).otherwise(hit["prev_states"])
-    inside = hit.isNotNull()
-    added = {
-        f"states{end}": F.when(inside, hit["states"]).otherwise(
-            F.lit(None) if p.strict_cnv else closest["states"]
-        ),
-        f"adjacent_states{end}": F.when(inside, inner).otherwise(
-            closest["states"] if p.strict_cnv else outer
-        ),
-        f"boundary_dist{end}": F.least(to_start, to_end),
-    }
-    return both.select(*svs.columns, *[c.alias(n) for n, c in added.items()])
+    return out.drop(*places)
+
+
+def _rows(options: dict) -> dict:
+    return {k: v for k, v in options.items() if k == "task_rows"}
 
 
 def match_svs(
@@ -221,19 +97,39 @@ def match_svs(
 
     A look-up position inside a segment takes its states, and the neighbour on the side
     of the nearest boundary as adjacent.  Otherwise the segment with the nearest boundary
-    is adjacent (strict) or taken as the match with its neighbour as adjacent."""
-    around = cut_lineage(with_neighbours(in_file_order(segments)))
-    # One row per place: ends that share a position share its nearest boundaries.
-    asked = F.array(
-        *[F.struct(F.col(f"chr{e}").alias("chr"), F.col(f"pos{e}").alias("pos")) for e in ends]
-    )
-    places = (
-        svs.select("sample", F.explode(asked).alias("_a"))
-        .select("sample", "_a.*")
-        .distinct()
+    is adjacent (strict) or taken as the match with its neighbour as adjacent.  Boundaries
+    are measured from the break itself; among equally near ones an end counts before a start."""
+    index = stabbing.index_segments(in_file_order(segments), **options)
+    around = with_neighbours(index.segments, index.within).select(
+        "sample", "chr", "ordinal", F.struct("states", "prev_states", "next_states").alias("value")
     )
-    nearest = cut_lineage(nearest_boundaries(places, around))
-    out = svs
-    for end in ends:
-        out = _match_end(out, around, nearest, end, p, **options)
-    return out
+    places = {}
+    for e in ends:
+        places[f"_hit{e}"] = (F.col(f"chr{e}"), look_up_position(e, p.sv_offset))
+        places[f"_at{e}"] = (F.col(f"chr{e}"), F.col(f"pos{e}"))
+    out = stabbing.look_up(svs, index, places, **_rows(options))
+    columns = list(svs.columns)
+    for e in ends:
+        pos, chrom = F.col(f"pos{e}"), F.col(f"chr{e}")
+        start, end = (stabbing.nearest(f"_at{e}", pos, kind) for kind in ("start", "end"))
+        out = out.withColumns({"_start": start, "_end": end})
+        to_start, to_end = F.col("_start.distance"), F.col("_end.distance")
+        from_start = to_start < to_end
+        nearer = F.when(from_start, F.col("_start.ordinal")).otherwise(F.col("_end.ordinal"))
+        hit = F.col(f"_hit{e}.hit")
+        out = stabbing.attach(out, index, around, chrom, F.coalesce(hit, nearer), "_seg", **_rows(options))
+        inside, seg = hit.isNotNull(), F.col("_seg")
+        outer = F.when(from_start, seg["prev_states"]).otherwise(seg["next_states"])
+        inner = F.when(to_start > to_end, seg["next_states"]).otherwise(seg["prev_states"])
+        added = {
+            f"states{e}": F.when(inside, seg["states"]).otherwise(
+                F.lit(None) if p.strict_cnv else seg["states"]
+            ),
+            f"adjacent_states{e}": F.when(inside, inner).otherwise(
+                seg["states"] if p.strict_cnv else outer
+            ),
+            f"boundary_dist{e}": F.least(to_start, to_end),
+        }
+        columns += added
+        out = out.withColumns(added).drop("_start", "_end", "_seg")
+    return out.select(*columns)
