@@ -245,6 +245,49 @@ def cnv_from_ascat(spark, sf_dir):
     return _shown(cnv.segments(table.withColumnRenamed("file_row", "ordinal")))
 
 
+# Six files, one of each format, their columns in an order of their own.
+_MIXED = {
+    "M0": ("chr startpos endpos frac1_A nMaj1_A nMin1_A nMaj2_A nMin2_A frac2_A", "k, lo, hi, f, IF(gone, 'NA', CAST(a AS STRING)), b, a + 1, b, 1 - f"),
+    "M1": (
+        " ".join(f"battenberg_{n}_A" for n in ("nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2")) + " start end chr",
+        "IF(gone, 'NA', CAST(a AS STRING)), b, f, a + 1, b, 1 - f, lo, hi, k",
+    ),
+    "M2": ("chromosome start end clonal_frequency minor_cn major_cn", "k, lo, hi, f, b, IF(gone, 'NA', CAST(a AS STRING))"),
+    "M3": ("star chromosome start end major_cn minor_cn", "'1', k, lo, hi, IF(gone, 'NA', CAST(a AS STRING)), b"),
+    "M4": (
+        "TITAN_call Chromosome Start End Corrected_Copy_Number Corrected_MajorCN Corrected_MinorCN Cellular_Prevalence",
+        "'HET', k, lo, hi, a + b, IF(gone, 'NA', CAST(a AS STRING)), b, f",
+    ),
+    "M5": (None, "ordinal, k, lo, hi, 2, 1, IF(gone, 'NA', CAST(a + b AS STRING)), b"),
+}
+_SIX = f"SELECT *, 'M' || CAST(ordinal % 6 AS STRING) AS m FROM ({_PART}) p"
+_SECOND = f"CASE WHEN f <> 1 THEN '|' || {_num('a + 1')} || ',' || {_num('b')} || ',' || {_num('1 - f')} ELSE '' END"
+_LEFT = f"CASE WHEN f <> 1 THEN '|1.0,' || CASE WHEN gone THEN '0.0' ELSE '1.0' END || ',' || {_num('1 - f')} ELSE '' END"
+
+
+@register(
+    "cnv_mixed_formats",
+    steps=(("p", _SIX),),
+    sql=_SQL_HEAD.replace("sample,", "m AS sample,")
+    + f"CASE WHEN m = 'M4' AND gone THEN {_num('a + b')} || ',0.0' ELSE {_num('a')} || ',' || {_num('b')} END || ',' ||"
+    + f" CASE WHEN m IN ('M3', 'M5') THEN '1.0' ELSE {_num('f')} END || CASE WHEN m IN ('M0', 'M1') THEN {_SECOND}"
+    + f" WHEN m = 'M4' THEN {_LEFT} ELSE '' END AS gtype FROM p WHERE m = 'M4' OR NOT gone",
+)
+def cnv_mixed_formats(spark, sf_dir):
+    given = views.stored(views.query(spark, sf_dir, _SIX, "part"))
+    lines = None
+    for m, (header, fields) in _MIXED.items():
+        sep = "," if header is None else "\\t"
+        body = given.filter(F.col("m") == m).select(
+            F.col("m").alias("sample"), F.col("ordinal").cast("long").alias("ordinal"), F.expr(f"concat_ws('{sep}', {fields})").alias("line")
+        )
+        if header:
+            first = body.groupBy("sample").agg((F.min("ordinal") - 1).alias("ordinal"))
+            body = body.unionByName(first.withColumn("line", F.lit(header.replace(" ", "\t"))))
+        lines = body if lines is None else lines.unionByName(body)
+    return _shown(cnv.mixed_segments(lines.withColumn("path", F.concat("sample", F.lit(".txt")))))
+
+
 # ---------------------------------------------------------------- point mutations
 
 # Line items as mutations: position and counts, and flags that make rows drop.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype
+from ..operators.skew import lookup_join
+from ..session import cut_lineage
 from .text import lines_to_table, number
 
 # Column names of the headerless csv format (fixed values).
@@ -96,3 +98,56 @@ def segments(df: DataFrame) -> DataFrame:
     if "tumour_total" in names:
         return ascat(df)
     raise ValueError(f"copy-number columns not recognised: {sorted(names)}")
+
+
+# Columns of each format with a header; the first named tells it apart (fixed values).
+_ALLELIC = tuple(f"{n}_A" for n in ("nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2"))
+HEADERED = {
+    "battenberg": (*_ALLELIC, "chr", "startpos", "endpos"),
+    "prefixed": (*(f"battenberg_{n}" for n in _ALLELIC), "chr", "start", "end"),
+    "frequency": ("clonal_frequency", "chromosome", "start", "end", "major_cn", "minor_cn"),
+    "star": ("star", "chromosome", "start", "end", "major_cn", "minor_cn"),
+    "titan": (
+        "TITAN_call",
+        "Chromosome",
+        "Start",
+        "End",
+        "Corrected_Copy_Number",
+        "Corrected_MajorCN",
+        "Corrected_MinorCN",
+        "Cellular_Prevalence",
+    ),
+    "ascat": ("tumour_total", "tumour_minor", "chr", "startpos", "endpos"),
+}
+
+
+def mixed_segments(lines: DataFrame) -> DataFrame:
+    """Segments of many files at once (path, sample, ordinal, line), each in a format of its own.
+
+    The first line of a file says which: a line with tabs is a header, and columns are found by
+    it wherever they stand; without tabs the file is of the headerless csv format.  An empty
+    file has no lines and no segments, empty lines are passed over, and a header that no format
+    has raises.  Headers are one row per file; every format reads its own rows of one table."""
+    lines = lines.select("path", "sample", "ordinal", "line").filter(F.trim("line") != "")
+    heads = lines.groupBy("path").agg(
+        F.min_by("line", "ordinal").alias("_head"), F.min("ordinal").alias("_at")
+    )
+    names = F.transform(F.split("_head", "\t"), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    heads = heads.withColumn("_names", names)
+    kind = F.when(F.size("_names") == 1, "csv")
+    for name, columns in HEADERED.items():
+        kind = kind.when(F.array_contains("_names", columns[0]), name)
+    unknown = F.raise_error(F.concat(F.lit("copy-number columns not recognised in "), F.col("path")))
+    heads = heads.select("path", "_at", "_names", kind.otherwise(unknown).alias("_kind"))
+    rows = lookup_join(lines, heads, ["path"])
+    rows = cut_lineage(rows.filter((F.col("_kind") == "csv") | (F.col("ordinal") != F.col("_at"))))
+
+    cells = F.split("line", "\t", -1)
+    out = ascat(lines_to_table(rows.filter(F.col("_kind") == "csv").select("sample", "ordinal", "line"), CSV_NAMES, ","))
+    for name, columns in HEADERED.items():
+        found = {c: F.get(cells, F.array_position("_names", c).cast("int") - 1) for c in columns}
+        table = rows.filter(F.col("_kind") == name).select(
+            "sample", "ordinal", *[F.regexp_replace(v, '"', "").alias(c) for c, v in found.items()]
+        )
+        out = out.unionByName(segments(table))
+    return out

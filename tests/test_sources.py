@@ -140,3 +140,23 @@ def test_copy_number_dispatch(spark, tmp_path):
     assert cnv.segments(empty).collect() == [] and "states" in cnv.segments(empty).columns
     with pytest.raises(ValueError, match="not recognised"):
         cnv.segments(spark.createDataFrame([], "sample string, ordinal long, a string"))
+
+
+def test_copy_number_files_of_mixed_formats(spark, tmp_path):
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    write(folder / "a.csv", ("1,1,100,200,2,1,3,1",), ("2,2,300,400,2,1,2,0",))
+    write(folder / "b.txt", ('"minor_cn"', "star", "chromosome", "end", "start", "major_cn"), (1, 9, "7", 90, 10, 4), (1, 9, "7", 95, 91, "NA"))
+    write(folder / "c.txt", ("chr", "startpos", "endpos", "nMaj1_A", "nMin1_A", "frac1_A", "nMaj2_A", "nMin2_A", "frac2_A"))
+    (folder / "empty.txt").write_text("")
+    lines = read_lines(spark, str(folder)).withColumn("sample", F.regexp_extract("path", "([a-z]+)[.][a-z]+$", 1))
+    out = cnv.mixed_segments(lines).select("sample", "chr", "startpos", "endpos", genotype.render(F.col("states")))
+    assert sorted(map(tuple, out.collect())) == [
+        ("a", "1", 100, 200, "2.0,1.0,1.0"),
+        ("a", "2", 300, 400, "2.0,0.0,1.0"),
+        ("b", "7", 10, 90, "4.0,1.0,1.0"),
+    ]
+    write(folder / "d.txt", ("who", "knows"), (1, 2))
+    with pytest.raises(Exception, match="not recognised in .*d.txt"):
+        cnv.mixed_segments(read_lines(spark, str(folder)).withColumn("sample", F.lit("S"))).collect()
+    assert cnv.mixed_segments(lines.limit(0)).collect() == []
