@@ -6,8 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import counting
+from ..operators import counting, placed_reads
 from ..params import DEFAULTS
+from ..session import scratch_path
 from . import views
 from .registry import register
 
@@ -15,10 +16,15 @@ from .registry import register
 CAPPED = replace(DEFAULTS, mean_cov=0.2)
 
 
-def tables(spark, sf_dir, p=DEFAULTS):
+# Cells of the reads by place: the tables lie on the first five million positions.
+CELL = 1 << 19
+
+
+def tables(spark, sf_dir, p=DEFAULTS, by_place=False):
     """SVs, stored reads, and limits."""
     svs = views.view(spark, sf_dir, "sv")
-    reads = views.stored(views.view(spark, sf_dir, "reads"))
+    reads = views.view(spark, sf_dir, "reads")
+    reads = placed_reads.write(reads, scratch_path(spark), CELL) if by_place else views.stored(reads)
     limits = counting.read_limits(views.view(spark, sf_dir, "params"), p)
     return svs, reads, limits
 
@@ -293,7 +299,7 @@ SELECT *, ROUND(CASE WHEN support = 0 THEN 0 ELSE support / CAST(support + norm1
 """,
 )
 def sv_counts(spark, sf_dir):
-    svs, reads, limits = tables(spark, sf_dir)
+    svs, reads, limits = tables(spark, sf_dir, by_place=True)
     out = counting.sv_counts(svs, reads, limits)
     names = [f"{c}{e}" for e in (1, 2) for c in counting.COUNTS]
     return out.select(

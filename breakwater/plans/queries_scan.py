@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import genotype
+from ..operators import placed_reads
+from ..session import scratch_path
 from ..sources import alignments, cnv, sample_tables, snv, sv
 from ..sources.text import lines_to_table
 from . import views
@@ -442,7 +444,8 @@ SELECT sample, concat_ws('\\t', query_name, 3 + IF(is_reverse, 16, 0), chrom, re
 FROM reads""",
         "reads",
     )
-    return alignments.sam_lines(views.stored(lines)).drop("is_proper_pair", "is_paired", "is_mapped")
+    reads = alignments.sam_lines(views.stored(lines)).drop("is_proper_pair", "is_paired", "is_mapped")
+    return placed_reads.write(reads, scratch_path(spark)).scan()
 
 
 @register(

@@ -38,23 +38,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Tables written by ``cut_lineage`` and not yet released.
+#: Paths given out by ``scratch_path`` and not yet released.
 _written: list[str] = []
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A path for a table in the checkpoint folder that ``release`` deletes."""
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it from there, so that
     what follows does not recompute it, survives the loss of executors, reads only the
     columns it needs, and is planned with the size known.  ``release`` deletes it."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that ``cut_lineage`` has written so far, once their results have been
+    """Delete the tables written under scratch paths so far, once their results have been
     used or written elsewhere.  Returns how many there were."""
     n = 0
     while _written:
