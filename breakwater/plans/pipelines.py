@@ -10,6 +10,7 @@ from ..operators import annotate, clustering, copynumber, counting, filters, mat
 from ..operators.skew import lookup_join
 from ..params import DEFAULTS, PARAM_DEFAULTS, Params
 from ..session import cut_lineage
+from ..sources import versioned
 
 
 def annotate_svs(
@@ -148,6 +149,32 @@ def postassign(
     }
 
 
+def fit_and_store(loci: DataFrame, folder: str, p: Params = DEFAULTS) -> None:
+    """Fit and store the model of each sample, with the number of variants in each cluster,
+    for other jobs to assign variants to."""
+    model = cut_lineage(fit(loci, p))
+    sized = clustering.with_sizes(model, clustering.assign(loci, model))
+    versioned.commit({"model": sized}, folder, loci.select("sample").distinct())
+
+
+def postassign_stored(
+    sv_loci: DataFrame, snv_loci: DataFrame, sv_folder: str, snv_folder: str, params: DataFrame, p: Params = DEFAULTS
+) -> dict[str, dict[str, DataFrame]]:
+    """Result tables of SVs and of SNVs under the stored models of both, merged."""
+    spark = sv_loci.sparkSession
+    models = [versioned.read(spark, folder, "model") for folder in (snv_folder, sv_folder)]
+    joint = cut_lineage(clustering.merged_model(*models))
+    return {
+        kind: results(clustering.assign(loci, joint), joint, params, p)
+        for kind, loci in (("sv", sv_loci), ("snv", snv_loci))
+    }
+
+
+def store_results(tables: dict[str, DataFrame], folder: str) -> None:
+    """Result tables of a step, replaced for its samples all at once."""
+    versioned.commit(tables, folder)
+
+
 def results(
     assigned: DataFrame, model: DataFrame, params: DataFrame, p: Params = DEFAULTS
 ) -> dict[str, DataFrame]:

@@ -6,10 +6,12 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering, copynumber, filters
+from ..operators import clustering, copynumber, filters, mixture
 from ..operators.skew import lookup_join
 from ..params import DEFAULTS
-from . import views
+from ..session import scratch_path
+from ..sources import versioned
+from . import pipelines, views
 from .queries_filter import CN_STEPS, SEG, params, segments, snvs, sv_cnt
 from .registry import register
 
@@ -420,8 +422,8 @@ FROM (SELECT 'S' || CAST(l_suppkey % 4 AS STRING) AS sample, CAST(l_orderkey AS
 """
 
 
-def planted_loci(spark, sf_dir):
-    rows = views.query(spark, sf_dir, PLANTED, "lineitem")
+def planted_loci(spark, sf_dir, planted=PLANTED):
+    rows = views.query(spark, sf_dir, planted, "lineitem")
     none = F.lit(None).cast("double")
     return rows.withColumns(
         {
@@ -449,3 +451,65 @@ def fit_ccf_clusters(spark, sf_dir):
     """The fit at its defaults recovers what was planted."""
     out = clustering.fit_clusters(planted_loci(spark, sf_dir))
     return out.select("sample", "k", "cluster", F.round("ccf", 1).alias("ccf"), "converged")
+
+
+@register(
+    "post_assign_stored",
+    over=_OVER_SNV,
+    steps=(
+        *_SNV_LOCI,
+        ("pl", "SELECT 'S' || CAST(l_suppkey % 4 AS VARCHAR) AS sample, l_linenumber % 3 = 0 AS low FROM lineitem"),
+        (
+            "model",
+            """
+SELECT sample, CASE WHEN low THEN 2 ELSE 1 END AS cluster, CAST(CASE WHEN low THEN 0.3 ELSE 1.0 END AS DOUBLE) AS ccf,
+  ROUND(COUNT(*) / CAST(SUM(COUNT(*)) OVER (PARTITION BY sample) AS DOUBLE), 1) AS weight FROM pl GROUP BY sample, low
+""",
+        ),
+        *scored("model"),
+    ),
+    sql="""
+SELECT lb.sample, lb.vid AS variant_id, label, ROUND(prob, 6) AS prob FROM lb JOIN pb ON pb.sample = lb.sample AND pb.vid = lb.vid AND pb.rk = 1
+""",
+)
+def post_assign_stored(spark, sf_dir):
+    """SNVs under the model that a fit to the planted loci stored; to one decimal, as the
+    SQL knows what was planted."""
+    folder = scratch_path(spark)
+    pipelines.fit_and_store(planted_loci(spark, sf_dir), folder)
+    model = versioned.read(spark, folder, "model").withColumns({c: F.round(c, 1) for c in ("ccf", "weight")})
+    out = clustering.post_assign(_loci(spark, sf_dir, "snv"), model)
+    best = F.array_max(F.transform("probs", lambda q: q["prob"]))
+    return out.select("sample", "variant_id", "label", F.round(best, 6).alias("prob"))
+
+
+# Fits with more clusters than there are creep for hundreds of steps; two starts of three will do here.
+FEW_STARTS = replace(DEFAULTS, clus_limit=3, repeat=2, n_iter=100)
+
+# As ``PLANTED``, nine in ten cells instead of all, on one copy or on both.
+PLANTED_COPIES = """
+SELECT sample, v AS variant_id, CAST(FLOOR(total * ccf * 0.5 * m + 0.5) AS DOUBLE) + jitter AS var1, CAST(total AS DOUBLE) AS total1
+FROM (SELECT 'S' || CAST(l_suppkey % 4 AS STRING) AS sample, CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) AS v,
+    60 + CAST(l_quantity AS INT) AS total, CASE WHEN l_linenumber % 3 = 0 THEN 0.3 ELSE 0.9 END AS ccf, 1 + l_orderkey % 2 AS m,
+    CAST(l_partkey % 5 AS INT) - 2 AS jitter
+  FROM lineitem) x
+"""
+
+
+@register(
+    "fit_with_copies",
+    over=(),
+    sql="""
+SELECT 'S' || CAST(l_suppkey % 4 AS VARCHAR) AS sample, CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS variant_id,
+  CASE WHEN l_linenumber % 3 = 0 THEN 2 ELSE 1 END AS label, CASE WHEN l_linenumber % 3 = 0 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS label_ccf,
+  CAST(1 + l_orderkey % 2 AS BIGINT) AS copies
+FROM lineitem
+""",
+)
+def fit_with_copies(spark, sf_dir):
+    """The fit recovers planted fractions and copies at high shares of reads."""
+    loci = planted_loci(spark, sf_dir, PLANTED_COPIES).withColumn("top1", F.lit(2))
+    out = mixture.copies_and_clusters(loci, mixture.fit_with_copies(loci, FEW_STARTS))
+    return out.select(
+        "sample", "variant_id", "label", F.round("label_ccf", 1).alias("label_ccf"), F.col("copies_of1").cast("long").alias("copies")
+    )
