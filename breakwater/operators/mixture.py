@@ -260,7 +260,7 @@ def fit_with_copies(loci: DataFrame, p: Params = DEFAULTS, tolerance: float = 1e
     ordered = F.reverse(F.array_sort("b.centres"))
     named = best.select("sample", F.col("b.k").alias("k"), F.col("b.done").alias("converged"), F.posexplode(ordered).alias("i", "c"))
     return named.select(
-        "sample", "k", (F.col("i") + 1).alias("cluster"), F.col("c")["base"].alias("ccf"), F.col("c")["base_shares"].alias("weight"), "converged"
+        "sample", "k", (F.col("i") + 1).alias("cluster"), "c.ccf", "c.weight", "converged"
     )
 
 
