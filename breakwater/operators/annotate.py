@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import reads as R
 from ..functions.genome import canonical_breakends, natural_key, sv_class
 from ..params import DEFAULTS, Params
-from ..session import cut_lineage
-from .counting import breakend_windows, reads_in_windows, window_depth, with_limits
+from ..session import cut_lineage, free_shuffles
+from . import placed_reads
+from .counting import breakend_windows, window_depth, with_limits
 from .filters import blacklist_hits
 from .matching import breakends
 from .ordered import OrderedRows, first_of_each
-from .ranges import grid_join
-from .skew import lookup_join
+from .ranges import BIN, grid_join, overlap_join
+from .skew import SALTS, lookup_join
 
 # A share of left-anchored split reads strictly between these is mixed evidence.
 MIXED_LOW, MIXED_HIGH = 0.1, 0.9
@@ -23,24 +24,67 @@ MIXED_LOW, MIXED_HIGH = 0.1, 0.9
 # ---------------------------------------------------------------- evidence at the ends
 
 
+# Bins of ends and split reads, which meet within a few bases.
+END_BIN = 256
+
+
 def split_reads_at_ends(
     svs: DataFrame, reads: DataFrame, limits: DataFrame, p: Params = DEFAULTS, **options
 ) -> tuple[DataFrame, DataFrame]:
-    """Reads near each end, and the ends themselves with ``depth_tag`` HIDEP where the
-    window is above the depth cap (no reads are returned for an SV with such an end)."""
+    """Split reads near each end, one row without a read for an end that has other reads only,
+    and the SVs with ``depth_tag`` HIDEP where a window is above the depth cap (no reads are
+    returned for an SV with such an end).
+
+    Whether an end has reads follows from the depth sweep, and ordinary reads are no evidence,
+    so only split reads anchored near an end make pairs; they are made distinct before.  An end
+    lies in one bin, which its rows are partitioned by (see ``_end_keys``)."""
+    reach = 2 * p.threshold
     ready = with_limits(svs, limits.select("sample", "max_dp"), p)
-    windows = breakend_windows(ready, F.lit(2 * p.threshold))
-    depth = window_depth(windows, reads, **options).groupBy("sample", "sv_id").agg(
-        F.max("depth").alias("_deepest")
+    depth = window_depth(breakend_windows(ready, F.lit(reach)), reads, **options)
+    deepest = depth.groupBy("sample", "sv_id").agg(
+        *[F.max(F.when(F.col("bp") == e, F.col("depth"))).alias(f"_depth{e}") for e in (1, 2)]
     )
-    ready = ready.join(depth, ["sample", "sv_id"], "left")
-    deep = F.coalesce(F.col("_deepest") > F.col("max_dp"), F.lit(False))
-    status = ready.withColumn("depth_tag", F.when(deep, "HIDEP")).drop("_deepest", "max_dp")
-    shallow = status.filter(F.col("depth_tag").isNull())
-    windows = breakend_windows(shallow, F.lit(2 * p.threshold))
-    found = reads_in_windows(windows, reads, **options)
-    ends = windows.select("sample", "sv_id", "bp", "pos", "dir")
-    return found.join(ends, ["sample", "sv_id", "bp"]), status
+    ready = cut_lineage(ready.join(deepest, ["sample", "sv_id"], "left"))
+    free_shuffles(svs.sparkSession)
+    deep = F.coalesce(F.greatest("_depth1", "_depth2") > F.col("max_dp"), F.lit(False))
+    ready = ready.withColumn("depth_tag", F.when(deep, "HIDEP"))
+    shallow = ready.filter(F.col("depth_tag").isNull())
+    ends = breakends(shallow, ("dir", "_depth")).filter(F.col("_depth") > 0)
+    ends = ends.select("sample", "sv_id", "bp", "chrom", "pos", "dir")
+    near = _with_split_reads(ends, placed_reads.near(reads, breakend_windows(shallow, F.lit(reach))), p, **options)
+    return near, ready.drop("_depth1", "_depth2", "max_dp")
+
+
+def _with_split_reads(ends: DataFrame, reads: DataFrame, p: Params, **options) -> DataFrame:
+    """Ends with the distinct split reads of their windows, by the anchor of the clipped side: a
+    consensus lies less than a reach from its end, and its own split reads less than another."""
+    reach = 2 * p.threshold
+    read = R.flat()
+    left_anchored = R.left_clip(read) < R.LENIENT_ANCHOR
+    clipped = F.when(left_anchored, R.right_clip(read)).when(~left_anchored, R.left_clip(read)) >= p.threshold
+    split = reads.filter(clipped & (F.col("ref_start") < F.col("ref_end"))).select("sample", *R.FIELDS).distinct()
+    split = split.select(
+        "sample", F.col("chrom"), F.when(left_anchored, F.col("ref_end")).otherwise(F.col("ref_start")).alias("_anchor"), *[c for c in R.FIELDS if c not in ("query_name", "chrom", "ins_len", "is_reverse")]
+    )
+    pairs, _ = overlap_join(
+        ends,
+        split,
+        ["sample", "chrom"],
+        (F.col("pos"), F.col("pos") + 1),
+        (F.col("_anchor") - 2 * reach, F.col("_anchor") + 2 * reach),
+        END_BIN,
+        how="left",
+        **options,
+    )
+    # of the window, which is narrower than the consensus reaches
+    inside = (F.col("ref_start") < F.col("pos") + reach) & (F.col("ref_end") > F.greatest(F.col("pos") - reach, F.lit(0)) - 1)
+    fields = ("ref_start", "ref_end", "align_start", "align_end", "len")
+    return pairs.withColumns({c: F.when(inside, F.col(c)) for c in fields}).drop("_anchor")
+
+
+def _end_keys(near: DataFrame) -> list[str]:
+    """What names an end, and what its rows are partitioned by already."""
+    return ["sample", "sv_id", "bp", *[c for c in ("chrom", BIN, *SALTS) if c in near.columns]]
 
 
 def consensus_positions(near: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -49,7 +93,7 @@ def consensus_positions(near: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     split = R.split_lenient(R.flat(), F.col("pos"), 2 * p.threshold)
     return (
         near.filter(split)
-        .groupBy("sample", "sv_id", "bp")
+        .groupBy(*_end_keys(near))
         .agg(
             F.mode("ref_end", True).alias("ca_right"),
             (F.mode("ref_start", True) + 1).alias("ca_left"),
@@ -59,13 +103,14 @@ def consensus_positions(near: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def recalibrated_positions(near: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(sample, sv_id, bp, new_pos): the consensus on the side of the direction."""
+    keys = _end_keys(near)
     cons = consensus_positions(near, p)
-    ends = near.groupBy("sample", "sv_id", "bp").agg(
+    ends = near.groupBy(*keys).agg(
         F.first("pos").alias("pos"), F.first("dir").alias("dir")
     )
     side = F.when(F.col("dir") == "+", F.col("ca_right")).otherwise(F.col("ca_left"))
     found = F.coalesce(F.nullif(side, F.lit(0)), F.col("pos"))
-    return ends.join(cons, ["sample", "sv_id", "bp"], "left").select(
+    return ends.join(cons, keys, "left").select(
         "sample", "sv_id", "bp", found.alias("new_pos")
     )
 
@@ -81,7 +126,8 @@ def end_evidence(near: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     close enough to the end."""
     reach = 2 * p.threshold
     cons = consensus_positions(near, p)
-    joined = near.join(cons, ["sample", "sv_id", "bp"], "left")
+    keys = _end_keys(near)
+    joined = near.join(cons, keys, "left")
     joined = joined.withColumns(
         {
             c: F.when(F.abs(F.col(c) - F.col("pos")) < reach, F.nullif(F.col(c), F.lit(0)))
@@ -94,7 +140,7 @@ def end_evidence(near: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         for name in ("pos", "ca_right", "ca_left")
     }
     toward = _left_share(R.split_lenient(read, F.col("pos"), p.threshold), p.threshold)
-    per_end = joined.groupBy("sample", "sv_id", "bp").agg(
+    per_end = joined.groupBy(*keys).agg(
         F.first("ca_right").alias("ca_right"),
         F.first("ca_left").alias("ca_left"),
         toward.alias("_toward"),

@@ -24,7 +24,7 @@ def tables(spark, sf_dir, p=DEFAULTS, by_place=False):
     """SVs, stored reads, and limits."""
     svs = views.view(spark, sf_dir, "sv")
     reads = views.view(spark, sf_dir, "reads")
-    reads = placed_reads.write(reads, scratch_path(spark), CELL) if by_place else views.stored(reads)
+    reads = placed_reads.write(reads, scratch_path(spark), CELL) if by_place else views.stored(reads, spread=False)
     limits = counting.read_limits(views.view(spark, sf_dir, "params"), p)
     return svs, reads, limits
 
@@ -371,7 +371,7 @@ SELECT sample, CAST(MIN(len) AS BIGINT) AS read_len,
 )
 def read_stats(spark, sf_dir):
     drift = F.when(F.col("ins_len") > 0, F.col("ref_start") % 7).otherwise(0)
-    reads = views.stored(views.view(spark, sf_dir, "reads")).select(
+    reads = views.stored(views.view(spark, sf_dir, "reads"), spread=False).select(
         "sample",
         "len",
         (F.col("ins_len") + drift).alias("ins_len"),
