@@ -444,7 +444,7 @@ SELECT sample, concat_ws('\\t', query_name, 3 + IF(is_reverse, 16, 0), chrom, re
 FROM reads""",
         "reads",
     )
-    reads = alignments.sam_lines(views.stored(lines)).drop("is_proper_pair", "is_paired", "is_mapped")
+    reads = alignments.sam_lines(views.stored(lines, spread=False)).drop("is_proper_pair", "is_paired", "is_mapped")
     return placed_reads.write(reads, scratch_path(spark)).scan()
 
 

@@ -30,31 +30,63 @@ def _end_clip(cigar: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract(cigar, pattern, 1).try_cast("long"), F.lit(0).cast("long"))
 
 
+def _plain(cigar: Column) -> dict[str, Column]:
+    """Clips and match of a CIGAR that is one match, clipped or not, without a regular
+    expression; ``_match`` is NULL for any other."""
+    ops = F.translate(cigar, "0123456789", "")
+    shaped = ops.isin("M", "SM", "MS", "SMS") & F.right(cigar, F.lit(1)).isin("M", "S")
+    left = F.when(ops.startswith("S"), F.substring_index(cigar, "S", 1)).otherwise("0").try_cast("long")
+    right = F.when(ops.endswith("S"), F.substring_index(F.substring_index(cigar, "M", -1), "S", 1)).otherwise("0").try_cast("long")
+    match = F.substring_index(F.substring_index(cigar, "M", 1), "S", -1).try_cast("long")
+    whole = shaped & left.isNotNull() & right.isNotNull()
+    return {"_match": F.when(whole, match), "_left": left, "_right": right}
+
+
 def sam_lines(lines: DataFrame) -> DataFrame:
     """SAM text to reads: 0-based half-open reference span, and the aligned part of the
     read between its soft clips."""
     rest = [c for c in lines.columns if c != "line"]
     part, cigar, flag, start = F.col("_part"), F.col("_cigar"), F.col("_flag"), F.col("_start")
+    match = F.col("_match")
     split = lines.filter(~F.col("line").startswith("@")).select(
         *rest, F.split("line", "\t", 10).alias("_part")
     )
-    fields = split.withColumns(
-        {
-            "_cigar": F.get(part, 5),
-            "_flag": F.get(part, 1).try_cast("int"),
-            "_start": F.get(part, 3).try_cast("long") - 1,
-        }
-    ).withColumn("_len", _cigar_sum(cigar, "MIS=X"))
+
+    def parsed(plain: Column, other: Column) -> Column:
+        return F.when(match.isNotNull(), plain).otherwise(other)
+
+    # All columns are made here: what stands inside ``emit`` is not compiled.
+    fields = (
+        split.withColumns(
+            {
+                "_name": F.get(part, 0),
+                "_chrom": F.nullif(F.get(part, 2), F.lit("*")),
+                "_cigar": F.get(part, 5),
+                "_flag": F.get(part, 1).try_cast("int"),
+                "_start": F.get(part, 3).try_cast("long") - 1,
+                "_ins": F.get(part, 8).try_cast("long"),
+            }
+        )
+        .withColumns(_plain(cigar))
+        .withColumns(
+            {
+                "_len": parsed(F.col("_left") + match + F.col("_right"), _cigar_sum(cigar, "MIS=X")),
+                "_end": F.when(cigar != "*", start + parsed(match, _cigar_sum(cigar, "MDN=X"))),
+                "_from": parsed(F.col("_left"), _end_clip(cigar, r"^(?:[0-9]+H)?([0-9]+)S")),
+                "_cut": parsed(F.col("_right"), _end_clip(cigar, r"[0-9]+[^0-9H]([0-9]+)S(?:[0-9]+H)?$")),
+            }
+        )
+    )
     row = F.struct(
         *rest,
-        F.get(part, 0).alias("query_name"),
-        F.nullif(F.get(part, 2), F.lit("*")).alias("chrom"),
+        F.col("_name").alias("query_name"),
+        F.col("_chrom").alias("chrom"),
         start.alias("ref_start"),
-        F.when(cigar != "*", start + _cigar_sum(cigar, "MDN=X")).alias("ref_end"),
-        _end_clip(cigar, r"^(?:[0-9]+H)?([0-9]+)S").alias("align_start"),
-        (F.col("_len") - _end_clip(cigar, r"[0-9]+[^0-9H]([0-9]+)S(?:[0-9]+H)?$")).alias("align_end"),
+        F.col("_end").alias("ref_end"),
+        F.col("_from").alias("align_start"),
+        (F.col("_len") - F.col("_cut")).alias("align_end"),
         F.col("_len").alias("len"),
-        F.get(part, 8).try_cast("long").alias("ins_len"),
+        F.col("_ins").alias("ins_len"),
         (flag.bitwiseAND(FLAG_REVERSE) != 0).alias("is_reverse"),
         (flag.bitwiseAND(FLAG_PROPER) != 0).alias("is_proper_pair"),
         (flag.bitwiseAND(FLAG_PAIRED) != 0).alias("is_paired"),
