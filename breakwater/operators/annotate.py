@@ -11,7 +11,7 @@ from ..params import DEFAULTS, Params
 from ..session import cut_lineage, free_shuffles
 from . import placed_reads
 from .counting import breakend_windows, window_depth, with_limits
-from .filters import blacklist_hits
+from .filters import blacklist_hits, merged
 from .matching import breakends
 from .ordered import OrderedRows, first_of_each
 from .ranges import BIN, grid_join, overlap_join
@@ -206,7 +206,7 @@ def tag_blacklisted(svs: DataFrame, intervals: DataFrame, **options) -> DataFram
     """Adds BLACKLIST to the tags of SVs with an end in an interval."""
     ends = breakends(svs)
     hit = (
-        blacklist_hits(ends, intervals, "left_semi", **options)
+        blacklist_hits(ends, merged(intervals), "left_semi", **options)
         .select("sample", "sv_id")
         .distinct()
         .withColumn("_hit", F.lit(True))
