@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genome import canonical_breakends
 from ..params import DEFAULTS, Params
-from .ranges import grid_join
+from .ranges import bin_of, grid_join
 from .skew import lookup_join
 
+# Length of the stretches in which ends are compared with their neighbours, in thresholds.
+STRETCH = 512
+
 
 def drop_germline(svs: DataFrame, germline: DataFrame, p: Params = DEFAULTS, **options) -> DataFrame:
     """SVs without a germline SV (of enough support) at nearly the same ends."""
@@ -131,19 +134,27 @@ def breakend_neighbours(svs: DataFrame, threshold: int = DEFAULTS.threshold) ->
     """For each end: how many ends 1 and ends 2 of other SVs lie within the threshold,
     and the id of the other SV where it is only one such end.
 
-    Ends are counted by position first, and a position looks at the few positions around
-    it, so a crowded place costs no more than an empty one."""
+    Ends are counted by position first, so a crowded place costs no more than an empty one.  A
+    position is entered in its stretch of the chromosome and, near an edge, in the next one;
+    within a stretch, which has few positions, a window adds up those around each."""
     ends = breakends(svs)
     by_place = ends.groupBy("sample", "chrom", "pos").agg(
         F.sum(F.when(F.col("bp") == 1, 1).otherwise(0)).alias("ends1"),
         F.sum(F.when(F.col("bp") == 2, 1).otherwise(0)).alias("ends2"),
         F.sum("sv_id").alias("ids"),
     )
-    steps = F.sequence(F.lit(1 - threshold), F.lit(threshold - 1))
+    width, at = STRETCH * threshold, F.col("pos").cast("long")
+    first, last = (bin_of(at + step, width) for step in (1 - threshold, threshold - 1))
+    near = (
+        Window.partitionBy("sample", "chrom", "_stretch")
+        .orderBy(at)
+        .rangeBetween(1 - threshold, threshold - 1)
+    )
     around = (
-        by_place.withColumn("_step", F.explode(steps))
-        .groupBy("sample", "chrom", (F.col("pos") + F.col("_step")).alias("pos"))
-        .agg(F.sum("ends1").alias("ends1"), F.sum("ends2").alias("ends2"), F.sum("ids").alias("ids"))
+        by_place.withColumn("_stretch", F.explode(F.sequence(first, last)))
+        .withColumns({c: F.sum(c).over(near) for c in ("ends1", "ends2", "ids")})
+        .filter(F.col("_stretch") == bin_of(at, width))
+        .drop("_stretch")
     )
     # What an SV adds to its own count: the end itself, and its other end if that is near.
     both_near = (F.col("chr1") == F.col("chr2")) & (
