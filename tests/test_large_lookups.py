@@ -5,6 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from breakwater.operators import copynumber, skew, stabbing
+from breakwater.plans import views
+from breakwater.session import cut_lineage
+from test_entry import SF
 
 SEGMENTS = "sample string, chr string, ordinal long, startpos long, endpos long, states string"
 
@@ -51,3 +54,18 @@ def test_no_salts_without_crowded_keys(spark):
     assert keys == ["key"] and same.columns == ["key", "a"] and other.columns == ["key", "b"]
     some, _, keys = skew.salt_both(left, right, ["key"], 10, split_right=False)
     assert keys == ["key", *skew.SALTS] and some.count() == 100
+
+
+def test_tables_that_were_not_counted_small_are_not_broadcast(spark):
+    """Stored tables of a few bytes of files: their rows are many, however small the files are."""
+    left = cut_lineage(spark.range(1000).select((F.col("id") % 7).alias("key"), F.col("id").alias("a")))
+    right = cut_lineage(spark.range(7).select(F.col("id").alias("key"), F.col("id").alias("b")))
+    joined = skew.lookup_join(left, right, ["key"], "left", 0)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == 1000
+    out = copynumber.match_snvs(spark.createDataFrame([("S0", "1", 150)], "sample string, chrom string, pos long"), tiles(spark, 50), broadcast_rows=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1, plan  # the ends of chromosomes
+    counted = views.view(spark, SF, "sv_cnt")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in counted
