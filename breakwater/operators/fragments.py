@@ -1,25 +1,16 @@
-"""Fragments of one or two reads beside breaks, without a row for each read of each window.
+"""Fragments of reads, and what is told of a fragment by itself.
 
-A read that stays clear of a break tells nothing of it, so a fragment meets the breaks that
-lie within its own extent; only a fragment whose reads are both no ordinary pair looks through
-whole windows.  What a window holds is counted by sweeps."""
+What a window holds is counted by sweeps; which fragments count at a break is found where they
+meet (``meeting``)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reads as R
-from ..params import Params
-from . import counting
-from .ranges import overlap_join
 
 REST = tuple(c for c in R.FIELDS if c != "query_name")
-# Bins of breaks and fragments.
-BREAK_BIN = 512
-CONTEXT = ("chr1", "pos1", "dir1", "chr2", "pos2", "dir2", "min_ins", "max_ins", "win_from1", "win_to1", "win_from2", "win_to2")
 
 
 def of(reads: DataFrame) -> DataFrame:
@@ -49,157 +40,3 @@ def facing(short: DataFrame) -> DataFrame:
     return short.filter(held).select(
         "sample", F.col("a.chrom").alias("chrom"), F.greatest("a.ref_start", "b.ref_start").alias("ref_start"), F.least("a.ref_end", "b.ref_end").alias("ref_end")
     )
-
-
-def _ends_of(svs: DataFrame) -> DataFrame:
-    """One row for each end, with both ends' windows and what else labels take from the SV."""
-    held = svs
-    for e in (1, 2):
-        pos = F.col(f"pos{e}")
-        start = F.greatest((pos - F.col("max_ins")).cast("long"), F.lit(0))
-        held = held.withColumns({f"win_from{e}": start - 1, f"win_to{e}": (pos + F.col("max_ins")).cast("long")})
-    ends = F.array(*[F.struct(F.lit(e).alias("_e"), F.col(f"chr{e}").alias("_chrom"), F.col(f"pos{e}").alias("_at"), F.col(f"win_from{e}").alias("_from"), F.col(f"win_to{e}").alias("_to")) for e in (1, 2)])
-    return held.select("sample", "sv_id", *CONTEXT, F.inline(ends)).withColumnRenamed("_chrom", "chrom")
-
-
-def _in(read: str, e: int) -> Column:
-    """Whether the read lies in the window of end ``e``."""
-    r = R.nested(F.col(read))
-    held = (r("chrom") == F.col(f"chr{e}")) & (r("ref_start") < F.col(f"win_to{e}")) & (r("ref_end") > F.col(f"win_from{e}"))
-    return F.coalesce(held, F.lit(False))
-
-
-def _first_of(hit: Callable[[int, int], Column]) -> Column:
-    """Whether the row's (_i, _e) is the first of the four that hit, so that each SV and
-    fragment meet once."""
-    order = [(i, e) for i in (0, 1) for e in (1, 2)]
-    keep = F.lit(True)
-    for k, (i, e) in enumerate(order):
-        earlier = F.lit(False)
-        for before in order[:k]:
-            earlier |= hit(*before)
-        keep &= ~((F.col("_i") == i) & (F.col("_e") == e) & earlier)
-    return keep
-
-
-def meet(svs: DataFrame, short: DataFrame, p: Params, **options) -> DataFrame:
-    """Each SV with each fragment that may count at it, once.
-
-    A read is ordinary if it is whole and its insert is.  Labels other than off_break, of a
-    fragment whose last read is ordinary (or has an ordinary insert, after an ordinary read),
-    need a break within the threshold of the fragment's extent.  Two other reads may be a pair
-    of left-over reads wherever both are in windows."""
-    a, b = R.nested(F.col("a")), R.nested(F.col("b"))
-    lo, hi, t = F.col("min_ins"), F.col("max_ins"), p.threshold
-    whole = {k: ~R.clipped(r) & R.insert_between(r, lo, hi) for k, r in (("a", a), ("b", b))}
-    close = F.coalesce(whole["b"] | (whole["a"] & R.insert_between(b, lo, hi)), F.lit(False))
-    two = F.col("b").isNotNull()
-    # one window may hold both
-    near = F.coalesce((a("chrom") == b("chrom")) & (b("ref_start") - a("ref_end") <= 2 * hi + 2), F.lit(False))
-    wide = two & ~close
-
-    def span(chrom: Column, start: Column, end: Column) -> Column:
-        return F.struct(chrom.alias("chrom"), start.cast("double").alias("lo"), end.cast("double").alias("hi"))
-
-    own = {k: span(r("chrom"), r("ref_start") - t, r("ref_end") + t + 1) for k, r in (("a", a), ("b", b))}
-    hull = span(a("chrom"), F.least(a("ref_start"), b("ref_start")) - t, F.greatest(a("ref_end"), b("ref_end")) + t + 1)
-    around = span(a("chrom"), a("ref_start") - hi - 2, a("ref_end") + hi + 3)
-    first = F.when(wide, around).when(two & near, hull).otherwise(own["a"])
-    second = F.when(two & (wide | ~near), own["b"])
-    left = short.select("sample", "query_name", "a", "b", first.alias("_s0"), second.alias("_s1"), wide.alias("_wide"))
-    tagged = F.filter(F.array(F.struct(F.lit(0).alias("_i"), F.col("_s0").alias("_s")), F.struct(F.lit(1).alias("_i"), F.col("_s1").alias("_s"))), lambda x: x["_s"].isNotNull())
-    left = left.select("*", F.inline(tagged)).select("*", F.col("_s.chrom").alias("chrom"), F.col("_s.lo").alias("_lo"), F.col("_s.hi").alias("_hi")).drop("_s")
-    right = _ends_of(svs).drop("_from", "_to")
-    pairs, _ = overlap_join(left, right, ["sample", "chrom"], (F.col("_lo"), F.col("_hi")), (F.col("_at"), F.col("_at") + 1), BREAK_BIN, **options)
-
-    def hit(i: int, e: int) -> Column:
-        s = F.col(f"_s{i}")
-        # as the join does: the place overlaps the span
-        held = (s["chrom"] == F.col(f"chr{e}")) & (s["lo"] < F.col(f"pos{e}") + 1) & (s["hi"] > F.col(f"pos{e}"))
-        return F.coalesce(held, F.lit(False))
-
-    # a wide pair counts with both reads in windows, or near a break
-    bears = ~F.col("_wide") | _in("b", 1) | _in("b", 2)
-    for e in (1, 2):
-        pos = F.col(f"pos{e}")
-        bears |= F.coalesce((a("chrom") == F.col(f"chr{e}")) & (a("ref_start") - t <= pos) & (a("ref_end") + t >= pos), F.lit(False))
-    return pairs.filter(bears).filter(_first_of(hit)).select("sample", "sv_id", "query_name", "a", "b", *CONTEXT)
-
-
-def present(svs: DataFrame, short: DataFrame, **options) -> DataFrame:
-    """(sample, sv_id, query_name): each SV with each fragment in its windows, once."""
-    reads = F.array(F.struct(F.lit(0).alias("_i"), F.col("a").alias("_r")), F.struct(F.lit(1).alias("_i"), F.col("b").alias("_r")))
-    left = short.select("sample", "query_name", "a", "b", F.inline(reads)).filter(F.col("_r").isNotNull())
-    left = left.select("sample", "query_name", "a", "b", "_i", F.col("_r.chrom").alias("chrom"), F.col("_r.ref_start").alias("ref_start"), F.col("_r.ref_end").alias("ref_end"))
-    right = _ends_of(svs)
-    pairs, _ = overlap_join(left, right, ["sample", "chrom"], (F.col("ref_start"), F.col("ref_end")), (F.col("_from"), F.col("_to")), counting.WINDOW_BIN, **options)
-    return pairs.filter(_first_of(lambda i, e: _in("ab"[i], e))).select("sample", "sv_id", "query_name")
-
-
-def labelled(met: DataFrame, label_of: Callable, p: Params) -> DataFrame:
-    """Labels of both reads at both ends, NULL outside of the window and where the fragment was
-    counted as normal before; ``paired``, ``odd`` and ``supports`` of the pair they leave over."""
-    a, b = R.nested(F.col("a")), R.nested(F.col("b"))
-    met = met.withColumns({f"_in_{r}{e}": _in(r, e) for r in "ab" for e in (1, 2)})
-    found = {}
-    for e in (1, 2):
-        pos, direction = F.col(f"pos{e}"), F.col(f"dir{e}")
-        found[f"_a{e}"] = F.when(F.col(f"_in_a{e}"), label_of(a, b, F.col(f"_in_b{e}"), pos, direction, p))
-        found[f"_b{e}"] = F.when(F.col(f"_in_b{e}"), label_of(b, a, F.lit(False), pos, direction, p))
-    met = met.withColumns(found)
-
-    def normal(name: str) -> Column:
-        return F.coalesce(F.col(name).isin("split_norm", "span_norm"), F.lit(False))
-
-    at_end1 = normal("_a1") | normal("_b1")
-    met = met.withColumns(
-        {
-            "b1": F.when(~normal("_a1"), F.col("_b1")),
-            "a2": F.when(~at_end1, F.col("_a2")),
-            "b2": F.when(~at_end1 & ~normal("_a2"), F.col("_b2")),
-        }
-    ).withColumnRenamed("_a1", "a1")
-
-    def left_over(r: str) -> Column:
-        return F.coalesce(F.col(f"{r}1") == "other", F.lit(False)) | F.coalesce(F.col(f"{r}2") == "other", F.lit(False))
-
-    same = F.col("chr1") == F.col("chr2")
-    turned = (~same & (F.col("a.chrom") == F.col("chr2"))) | (same & (F.col("pos1") > F.col("pos2")))
-
-    def supports(one: R.Read, two: R.Read) -> Column:
-        return (
-            R.spanning_support(one, two, F.col("pos1"), F.col("pos2"), F.col("max_ins"), p.threshold)
-            & R.orientation_agrees(one, F.col("dir1"), F.col("pos1"))
-            & R.orientation_agrees(two, F.col("dir2"), F.col("pos2"))
-        )
-
-    met = met.withColumn("paired", left_over("a") & left_over("b"))
-    met = met.withColumn("spans", F.when(F.col("paired"), F.when(turned, supports(b, a)).otherwise(supports(a, b))))
-    split = F.lit(False)
-    for c in ("a1", "b1", "a2", "b2"):
-        split |= F.coalesce(F.col(c) == "split", F.lit(False))
-    spans = F.coalesce("spans", F.lit(False))
-    return met.withColumns({"odd": F.coalesce(~F.col("spans"), F.lit(False)), "supports": spans | split})
-
-
-def sums(p: Params) -> list[Column]:
-    """Counts of an SV's ends over its labelled fragments."""
-    out = []
-    zero = F.lit(0).cast("long")
-    for e in (1, 2):
-        pos = F.col(f"pos{e}")
-
-        def added(label: str, value: Callable[[R.Read], Column]) -> Column:
-            each = [F.when(F.col(f"{r}{e}") == label, value(R.nested(F.col(r))).cast("long")).otherwise(zero) for r in "ab"]
-            return F.sum(each[0] + each[1])
-
-        one = lambda r: F.lit(1)
-        out += [
-            added("split_norm", one).alias(f"split_norm{e}"),
-            added("split_norm", lambda r: F.coalesce(R.normal_overlap_bases(r, pos), zero)).alias(f"norm_olap_bp{e}"),
-            added("span_norm", one).alias(f"span_norm{e}"),
-            added("split", one).alias(f"split{e}"),
-            added("split", lambda r: F.coalesce(R.clip_bases(r, p.threshold), zero)).alias(f"sc_bases{e}"),
-        ]
-    spanning, odd = F.count_if("spans"), F.count_if("odd")
-    return [*out, F.count_if("paired").alias("pairs"), spanning.alias("spanning"), (2 * odd).alias("anomalous")]
