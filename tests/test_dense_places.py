@@ -69,3 +69,19 @@ def test_pairs_of_reads_and_windows_are_not_shuffled(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     # from the top: no shuffle of the pairs
     assert plan.index("Join") < plan.index("Exchange")
+
+
+def test_reads_of_windows_are_shuffled_once(spark):
+    """Beyond a broadcast the shuffle to the windows also makes reads distinct, crowded or not."""
+    svs = spark.createDataFrame([("S", i, "1", 1000 + 7 * i, "+", "1", 3000, "-") for i in range(50)], SV).withColumn("max_ins", F.lit(450.0))
+    rows = [("S", f"q{i % 60}", "1", 900 + i % 60 * 40, 1000 + i % 60 * 40, 0, 100, 100, 300, False) for i in range(120)]
+    reads, windows = spark.createDataFrame(rows, READ), counting.breakend_windows(svs, F.col("max_ins"))
+    few = sorted(map(str, counting.reads_in_windows(windows, reads).collect()))
+    for options in ({}, {"task_rows": 20}):
+        found = counting.reads_in_windows(windows, reads, broadcast_rows=0, **options)
+        assert sorted(map(str, found.collect())) == few
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Repartition") == 1
+        if not options:
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("Exchange") == 1  # and one that the join adds for the windows
